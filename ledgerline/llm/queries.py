@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import read_table
 from ledgerline.llm.knn import knn_join
+from ledgerline.llm.minhash import near_duplicates
 from ledgerline.llm.packing import pack
 
 
@@ -17,7 +18,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(spark, read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_topk": op9_topk}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_packing": op3_packing, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op9_topk": """
