@@ -8,6 +8,11 @@ from ledgerline.llm.common import read_table
 from ledgerline.llm.knn import knn_join
 from ledgerline.llm.minhash import near_duplicates
 from ledgerline.llm.packing import pack
+from ledgerline.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +27,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
+QUERIES = {
+    "op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op9_topk": """
