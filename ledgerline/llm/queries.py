@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import read_table
+from ledgerline.llm.decontaminate import leaks
 from ledgerline.llm.knn import knn_join
 from ledgerline.llm.minhash import near_duplicates
 from ledgerline.llm.packing import pack
@@ -19,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(spark, read_table(spark, sf_dir, "embeddings"))
 
@@ -28,7 +33,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
+    "op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op7_decontamination": op7_decontamination, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op9_topk": """
