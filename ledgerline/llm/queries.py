@@ -10,6 +10,7 @@ from ledgerline.llm.knn import knn_join
 from ledgerline.llm.minhash import near_duplicates
 from ledgerline.llm.packing import pack
 from ledgerline.llm.pii import find
+from ledgerline.llm.suffix_dedup import remove_repeats
 from ledgerline.llm.toxicity import toxicity
 
 
@@ -25,6 +26,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(read_table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +43,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op4_pii": op4_pii, "op7_decontamination": op7_decontamination, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
+    "op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_repeats": op5_repeats, "op7_decontamination": op7_decontamination, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 
 ORACLE_SQL = {
     "op9_topk": """
