@@ -170,6 +170,7 @@ def step_groups(sizes: list[int], group_tokens: int) -> list[int]:
 def packer(tokenizer_path: str, window: int, smallest: int, end_id: int, block_tokens: int, group_tokens: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         from ledgerline.llm.common import by_bytes
@@ -204,7 +205,7 @@ def packer(tokenizer_path: str, window: int, smallest: int, end_id: int, block_t
 
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1)
-            lengths = pa.compute.utf8_length(texts).to_pylist()
+            lengths = pc.utf8_length(texts).to_pylist()
             for a, b in by_bytes([range(n or 0) for n in lengths], 4_000_000):
                 some = texts.slice(a, b - a).to_pylist()
                 for doc, ids in zip(docs.slice(a, b - a).to_pylist(), tok.encode(some), strict=True):
