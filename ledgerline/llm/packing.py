@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,41 +35,75 @@ SCHEMA = T.StructType([
 ])
 
 
+#: Parts of these characters only are cut into the tokenizer's pre-tokens here, after lower-casing.
+PLAIN = re.compile(r"[\x21-\x7eß-öø-ÿÀ-ÖØ-Þ]*\Z")
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+")
+
+
 class WordTokenizer:
-    """A word-level cache before a tokenizer that drops white space: no id depends on text beyond the nearest space.
+    """Caches before a tokenizer that drops white space: no id depends on text beyond the nearest space.
 
     Texts are split at plain spaces and line feeds only, both white space to the tokenizer, and each part's ids are kept
-    as little-endian 32-bit bytes. Texts that may hold a special token's string are encoded whole.
+    as little-endian 32-bit bytes. Unknown parts of plain characters are cut into pre-tokens, whose ids are kept as well;
+    unknown pre-tokens are tokenised many at a time and told apart by the ids that end a word. The caches keep the first
+    `cache_size` entries; later ones are kept for their batch only. Texts that may hold a special token's string, and
+    parts of other characters, are encoded as they are.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.pre: dict[str, bytes] = {}
         self.cache_size = cache_size
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def pre_tokens(self, parts: list[str]) -> list[bytes]:
+        ids = np.array(self.tok.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(parts):
+            return [self.whole(p) for p in parts]
+        blob = ids.tobytes()
+        return [blob[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t is not None and "<|" in t else (t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > self.cache_size:
-            self.cache.clear()
-        cache = self.cache
+        cache, pre = self.cache, self.pre
         missing = list({w for words in split if words for w in words} - cache.keys())
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
-            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
-                cache[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        cut = {w: PRE_TOKEN.findall(w.lower()) for w in missing if PLAIN.match(w)}
+        unknown = list({p for c in cut.values() for p in c} - pre.keys())
+        for k in range(0, len(unknown), 500):
+            some = unknown[k : k + 500]
+            pre.update(zip(some, self.pre_tokens(some), strict=True))
+        for w in missing:
+            c = cut.get(w)
+            cache[w] = self.whole(w) if c is None else pre[c[0]] if len(c) == 1 else b"".join([pre[p] for p in c])
         get = cache.__getitem__
         out = [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
-        for w in missing:
-            if len(w) > 64:  # long ones seldom come again
-                del cache[w]
+        for table, new in ((cache, missing), (pre, unknown)):
+            full = len(table) > self.cache_size
+            for w in new:
+                if full or len(w) > 64:
+                    del table[w]
         return out
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each path and process, so that a worker's later tasks find the cache filled."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 class Block:
     """Packs a block of documents; gives rows without ids of sequences that are unique over tasks."""
 
@@ -175,7 +211,7 @@ def packer(tokenizer_path: str, window: int, smallest: int, end_id: int, block_t
 
         from ledgerline.llm.common import by_bytes
 
-        tok = WordTokenizer(tokenizer_path)
+        tok = word_tokenizer(tokenizer_path)
         part = TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         schema = pa.schema([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64()) for f in SCHEMA.fields])
