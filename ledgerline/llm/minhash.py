@@ -2,12 +2,13 @@
 
 Texts become sets of word shingles; documents with equal sets are one class, represented by the smallest doc_id. Many
 universal hash minima of each set are cut into bands, and the classes of a band's bucket are candidates. Pairs are
-checked first on signatures, then on full shingle sets, and components come from alternating large-star and small-star.
+checked first on signatures (the low 8 bits of each minimum), then on full shingle sets, and components come from
+alternating large-star and small-star.
 
-A bucket of m classes does not give m * m pairs. First every class is paired with the bucket's smallest; what is
-linked by then needs no more checks. In round t, in buckets that still hold more than one component, classes are paired
-with those classes of other components that a hash picks with a chance of 16**t / m, and in the last round with all,
-so that in the end every pair of a bucket was either checked or is connected otherwise. No bucket is capped.
+Buckets that hold the same classes are one. A bucket is checked in units of at most two blocks, and blocks are bounded
+in classes and shingles, so a large bucket is spread over many tasks; no bucket is capped. Within a unit a class is
+compared with all others at once, those connected so far are passed over, and only the links that connect anew are
+given out: no pairs are emitted, and every pair of a bucket was either checked or is connected otherwise.
 
 With 24 bands of 6 rows, a pair at Jaccard 0.85 shares no bucket with a chance of 1.2e-5, one at 0.9 with 1.3e-8. A
 signature is refused only if its estimate is 5 standard deviations below the threshold.
@@ -19,7 +20,6 @@ component. Other columns are ignored. An empty table gives no rows. A text is he
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +53,7 @@ def signer(bands: int, rows: int, width: int):
                         batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([minima.buckets(s) if s is not None else None for s in sigs], pa.list_(pa.int64())),
-                        pa.array([s.tobytes() if s is not None else None for s in sigs], pa.binary()),
+                        pa.array([s.astype("uint8").tobytes() if s is not None else None for s in sigs], pa.binary()),
                         pa.array([press.compress(t.encode("utf-8", "surrogatepass")) if len(s) else None for t, s in zip(texts, sets, strict=True)], pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "set_key", "buckets", "sig", "text"],
@@ -62,53 +62,101 @@ def signer(bands: int, rows: int, width: int):
     return run
 
 
-def verifier(width: int, percent: int, least_equal: int):
-    """Links whose signatures agree in enough places and whose full sets reach the threshold."""
+def unit_links(sigs, sets, percent: int, least_equal: int) -> list[tuple[int, int]]:
+    """Links that connect the members of a unit as all its links do, by place."""
+    import numpy as np
+
+    n = len(sets)
+    root = np.arange(n)
+    sizes = np.array([len(s) for s in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), np.int8)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    found = []
+    for i in range(n):
+        others = np.flatnonzero(root != root[i])
+        others = others[others > i]
+        if len(others):
+            # sizes bound the Jaccard index: the smaller set has at least the threshold's share of the larger
+            fits = 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
+            others = others[fits]
+            others = others[(sigs[others] == sigs[i]).sum(1) >= least_equal]
+        if not len(others):
+            continue
+        own = flat[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        for j in others.tolist():
+            if root[j] == root[i]:
+                continue
+            both = int(mark[flat[starts[j] : starts[j + 1]]].sum(dtype=np.int64))
+            if 100 * both >= percent * (int(sizes[i]) + int(sizes[j]) - both):
+                found.append((i, j))
+                root[root == root[j]] = root[i]
+        mark[own] = 0
+    return found
+
+
+def checker(width: int, percent: int, least_equal: int, plain: bool = False):
+    """Links of the units in a partition that is sorted by unit."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        from ledgerline.llm.shingles import Shingler, overlap
+        from ledgerline.llm.shingles import Shingler
 
-        shingler, unpress, kept = Shingler(width), zstandard.ZstdDecompressor(), OrderedDict()
+        shingler, unpress = Shingler(width), zstandard.ZstdDecompressor()
+        at, held = None, []
 
-        def full(doc: int, blob: bytes):
-            if doc not in kept:
-                while len(kept) >= 64:
-                    kept.popitem(last=False)
-                kept[doc] = shingler.sets([unpress.decompress(blob).decode("utf-8", "surrogatepass")])[0]
-            kept.move_to_end(doc)
-            return kept[doc]
+        def solved():
+            if len(held) < 2:
+                return
+            sets = []
+            for k in range(0, len(held), 64):
+                sets += shingler.sets([(t if plain else unpress.decompress(t)).decode("utf-8", "surrogatepass") for _, _, t in held[k : k + 64]])
+            sigs = np.frombuffer(b"".join(s for _, s, _ in held), np.uint8).reshape(len(held), -1)
+            pairs = unit_links(sigs, sets, percent, least_equal)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in pairs], pa.int64()), pa.array([held[j][0] for _, j in pairs], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                u, v, su, sv, tu, tv = (c.to_pylist() for c in batch.slice(a, 1000).columns)
-                found = []
-                for i in range(len(u)):
-                    if int((np.frombuffer(su[i], np.uint32) == np.frombuffer(sv[i], np.uint32)).sum()) < least_equal:
-                        continue
-                    x, y = full(u[i], tu[i]), full(v[i], tv[i])
-                    both = overlap(x, y)
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        found.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in found], pa.int64()), pa.array([v[i] for i in found], pa.int64())], names=["u", "v"])
+            for a in range(0, batch.num_rows, 500):
+                for *unit, rep, sig, text in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns), strict=True):
+                    if unit != at:
+                        yield from solved()
+                        at, held = unit, []
+                    if not held or held[-1][0] != rep:
+                        held.append((rep, sig, text))
+        yield from solved()
 
     return run
 
 
-def verify(pairs: DataFrame, payload: DataFrame, width: int, percent: int, n_minima: int) -> DataFrame:
+def class_links(work: Workspace, members: DataFrame, texts: DataFrame, percent: int, width: int, n_minima: int, plain: bool = False) -> DataFrame:
+    """Links (u, v) that connect the classes of every bucket as all its pairs at the threshold do.
+
+    members: bucket, rep, blocks; texts: rep, sig, text (compressed unless plain) of each class at least.
+    """
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (F.col("blocks") == 1) | (b != F.col("own")))
+    units = members.withColumn("own", own).select("bucket", "rep", "own", F.explode(other).alias("other"))
+    units = units.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+    asked = members.select("rep").distinct()
+    payload = work.write(texts.select("rep", "sig", "text").join(asked, "rep", "left_semi"), "payload")
+    full = units.join(payload, "rep").select("bucket", "i", "j", "rep", "sig", "text")
     s = percent / 100
-    least_equal = int(n_minima * s - 5 * (n_minima * s * (1 - s)) ** 0.5)
-    p = payload.select("doc_id", "sig", "text")
-    full = pairs.join(p.toDF("u", "su", "tu"), "u").join(p.toDF("v", "sv", "tv"), "v").select("u", "v", "su", "sv", "tu", "tv")
-    return full.mapInArrow(verifier(width, percent, least_equal), "u long, v long").distinct()
+    agree = s + (1 - s) / 256
+    least_equal = int(n_minima * agree - 5 * (n_minima * agree * (1 - agree)) ** 0.5)
+    dealt = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    edges = work.write(dealt.mapInArrow(checker(width, percent, least_equal, plain), "u long, v long"), "links")
+    work.drop(payload)
+    return edges
 
 
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 24, rows: int = 6,
-    doc_id: str = "doc_id", text: str = "text",
+    block_classes: int = 512, block_shingles: int = 1 << 20, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row; see the module's docstring."""
     work = Workspace(spark, "minhash")
@@ -117,43 +165,23 @@ def near_duplicates(
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = work.write(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
 
-    banded = linkable.select("doc_id", "buckets").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    banded = work.write(banded.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("rep")), "banded")
-    shared = work.write(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least")).where("m > 1"), "shared")
-    members = work.write(banded.join(shared, "bucket"), "members")
+    banded = linkable.select("doc_id", "n_shingles", "buckets").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    banded = work.write(banded.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n")), "banded")
+    # buckets of several classes, one of those that hold the same classes, and the blocks that each takes
+    whole = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("whole")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.min("rep").alias("least"), whole).where("m > 1")
+    shared = shared.groupBy("m", "n", "least", "whole").agg(F.min("bucket").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.col("m") / block_classes), F.ceil(F.col("n") / block_shingles)).cast("int")
+    shared = work.write(shared.select("bucket", blocks.alias("blocks")), "shared")
+    members = work.write(banded.join(shared, "bucket").select("bucket", "rep", "blocks"), "members")
     work.drop(banded, shared)
 
-    pairs = work.write(members.where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "pairs")
-    asked = members.select(F.col("rep").alias("doc_id")).distinct()
-    payload = work.write(linkable.select("doc_id", "sig", "text").join(asked, "doc_id", "left_semi"), "payload")
-    edges = work.write(verify(pairs, payload, width, percent, bands * rows), "links")
-    linked = work.write(components(work, edges), "components")
-    tested, reach = pairs, 1
-    while True:
-        reach *= 16
-        labelled = members.where("m > 2").select("bucket", "rep", "m").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        labelled = work.write(labelled, "labelled")
-        mixed = work.write(labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("m").alias("m")).where("a < b").select("bucket", "m"), "mixed")
-        largest = mixed.agg(F.max("m")).first()[0]
-        if largest is None:
-            break
-        part = labelled.select("bucket", "rep", "root").join(mixed, "bucket")
-        part = work.write(part, "open")
-        chance = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        centres = part.where(chance < F.lit(float(reach)) / F.col("m")).select("bucket", F.col("rep").alias("c"), F.col("root").alias("croot"))
-        more = part.join(centres, "bucket").where("root != croot").select(F.greatest("rep", "c").alias("u"), F.least("rep", "c").alias("v")).distinct()
-        more = work.write(more.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            edges = work.write(edges.union(verify(more, payload, width, percent, bands * rows)), "links")
-            linked = work.write(components(work, edges), "components")
-            tested = work.write(tested.union(more), "tested")
-        work.drop(labelled, mixed, part)
-        if largest <= reach:
-            break
+    edges = class_links(work, members, linkable.withColumnRenamed("doc_id", "rep"), percent, width, bands * rows)
+    work.drop(members)
+    linked = components(work, edges)
 
     classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     classes = work.write(classes, "class-components")
     head = linkable.select("doc_id", "n_shingles", "set_key").join(classes, "set_key").select("doc_id", "n_shingles", "component_id")
     rest = signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    work.drop(members, payload)
     return head.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
