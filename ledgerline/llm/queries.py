@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.common import read_table
 from ledgerline.llm.decontaminate import leaks
 from ledgerline.llm.knn import knn_join
+from ledgerline.llm.licenses import scan
 from ledgerline.llm.minhash import near_duplicates
 from ledgerline.llm.packing import pack
+from ledgerline.llm.paragraph_dedup import paragraph_duplicates
 from ledgerline.llm.pii import find
 from ledgerline.llm.suffix_dedup import remove_repeats
+from ledgerline.llm.tool_calls import link
 from ledgerline.llm.toxicity import toxicity
 
 
@@ -18,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -30,10 +37,18 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_duplicates(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(spark, read_table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +58,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_repeats": op5_repeats, "op7_decontamination": op7_decontamination, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
+    "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
+    "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
+    "op5_repeats": op5_repeats,
+    "op6_paragraphs": op6_paragraphs,
+    "op7_decontamination": op7_decontamination,
+    "op8_tool_calls": op8_tool_calls,
+    "op9_topk": op9_topk,
+    "op10_minhash": op10_minhash,
+}
 
 ORACLE_SQL = {
     "op9_topk": """
