@@ -143,8 +143,8 @@ def class_links(work: Workspace, members: DataFrame, texts: DataFrame, percent:
     units = members.withColumn("own", own).select("bucket", "rep", "own", F.explode(other).alias("other"))
     units = units.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
     asked = members.select("rep").distinct()
-    payload = work.write(texts.select("rep", "sig", "text").join(asked, "rep", "left_semi"), "payload")
-    full = units.join(payload, "rep").select("bucket", "i", "j", "rep", "sig", "text")
+    payload = work.write(texts.select("rep", "sig", "text").join(asked.hint("merge"), "rep", "left_semi"), "payload")
+    full = units.join(payload.hint("merge"), "rep").select("bucket", "i", "j", "rep", "sig", "text")
     s = percent / 100
     agree = s + (1 - s) / 256
     least_equal = int(n_minima * agree - 5 * (n_minima * agree * (1 - agree)) ** 0.5)
@@ -165,7 +165,7 @@ def near_duplicates(
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = work.write(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
 
-    banded = linkable.select("doc_id", "n_shingles", "buckets").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    banded = linkable.select("doc_id", "n_shingles", "buckets").join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     banded = work.write(banded.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n")), "banded")
     # buckets of several classes, one of those that hold the same classes, and the blocks that each takes
     whole = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("whole")
@@ -173,7 +173,7 @@ def near_duplicates(
     shared = shared.groupBy("m", "n", "least", "whole").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("m") / block_classes), F.ceil(F.col("n") / block_shingles)).cast("int")
     shared = work.write(shared.select("bucket", blocks.alias("blocks")), "shared")
-    members = work.write(banded.join(shared, "bucket").select("bucket", "rep", "blocks"), "members")
+    members = work.write(banded.join(shared.hint("merge"), "bucket").select("bucket", "rep", "blocks"), "members")
     work.drop(banded, shared)
 
     edges = class_links(work, members, linkable.withColumnRenamed("doc_id", "rep"), percent, width, bands * rows)
@@ -182,6 +182,6 @@ def near_duplicates(
 
     classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     classes = work.write(classes, "class-components")
-    head = linkable.select("doc_id", "n_shingles", "set_key").join(classes, "set_key").select("doc_id", "n_shingles", "component_id")
+    head = linkable.select("doc_id", "n_shingles", "set_key").join(classes.hint("merge"), "set_key").select("doc_id", "n_shingles", "component_id")
     rest = signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return head.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
