@@ -252,9 +252,10 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of personal data replaced by its kind in brackets; overlapping spans become one."""
     weights = learn(docs, text)
-    d = prepared(docs, text).withColumn("_all", accepted(weights))
+    # the row is kept apart, so that no column of docs can clash with the ones made here
+    d = prepared(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text").withColumn("_all", accepted(weights))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = F.col("_t")
+    t, row = F.col("_t"), F.col("_row")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(a: Column, s: Column) -> Column:
@@ -263,5 +264,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
     new = F.aggregate(F.col("_all"), start, add, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
-    clean = F.when(F.size("_all") > 0, new).otherwise(F.col(text))
-    return d.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    clean = F.when(F.size("_all") > 0, new).otherwise(row.getField(text))
+    return d.select(*[(clean if c == text else row.getField(c)).alias(c) for c in docs.columns])
