@@ -13,7 +13,7 @@ a large share of all rows is spread over slices, which are dealt by block and no
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, and rows without an id take no part.
 Rows that repeat an id count once, with the smallest vector of that id. A shorter vector is filled up with zeros; an
-empty one is all zeros. Ties go to the smaller id. Other columns are ignored. An empty table gives no rows.
+empty one is all zeros. Scores must fit in 64 bits. Ties go to the smaller id. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
