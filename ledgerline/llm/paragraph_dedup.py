@@ -2,8 +2,8 @@
 
 The paragraphs are sentences (runs of words up to a word that ends in . ! ? or to a line's end) of `least_words` words
 or more, so that a passage which stands in the midst of different texts still gives equal units. Paragraphs with equal
-shingle sets are one class. Few minima in short bands make recall high (8 bands of 3: a pair at Jaccard 0.8 is missed
-with a chance of 0.3 %, one at 0.9 with 3e-5); band hashes travel as packed arrays, and only classes that share a
+shingle sets are one class. Few minima in short bands make recall high (6 bands of 2: a pair at Jaccard 0.8 is missed
+with a chance of 0.2 %, one at 0.9 with 5e-5); band hashes travel as packed arrays, and only classes that share a
 band's hash go on as rows. Those are verified on full sets, in bounded units, and clustered by components. Of every
 cluster the first paragraph (smallest doc_id, then order in the text) stays, the others are removals.
 
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Workspace
+from ledgerline.llm.common import Workspace, trimmed
 from ledgerline.llm.components import components
 from ledgerline.llm.minhash import class_links
 from ledgerline.llm.suffix_dedup import grouped, packed, starts_of, unpacked
@@ -167,20 +167,21 @@ def meeting(batches: Iterator) -> Iterator:
 
 
 def paragraph_duplicates(
-    spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 8, bands: int = 8, rows: int = 3,
+    spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 8, bands: int = 6, rows: int = 2,
     block_classes: int = 512, block_shingles: int = 1 << 20, part_classes: int = 400_000, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """For each document: doc_id, n_paragraphs, n_removed, and the documents that keep what is removed (keepers)."""
     work = Workspace(spark, "paragraphs")
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    cut = work.write(some.mapInArrow(cutter(width, least_words, bands, rows), "doc_id long, seq long, rep long, n long, sig binary, buckets binary, text binary"), "paragraphs")
+    cut = work.write(some.mapInArrow(trimmed(cutter(width, least_words, bands, rows)), "doc_id long, seq long, rep long, n long, sig binary, buckets binary, text binary"), "paragraphs")
     units = cut.where("rep IS NOT NULL")
     # one row for each class: the first paragraph, which is also the one to stay of equal ones
     place = F.struct("doc_id", "seq")
     classes = work.write(units.groupBy("rep").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")), "classes")
+    work.release()
     parts = max(32, -(-units.count() * bands // (part_classes * 8)))
-    offered = units.select("rep", "n", "buckets").mapInArrow(offering(bands, parts), "part long, blob binary")
-    banded = offered.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meeting, "bucket long, rep long, n long")
+    offered = units.select("rep", "n", "buckets").mapInArrow(trimmed(offering(bands, parts)), "part long, blob binary")
+    banded = offered.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(meeting), "bucket long, rep long, n long")
     banded = work.write(banded, "banded")
     work.release()
     whole = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("whole")
@@ -188,19 +189,19 @@ def paragraph_duplicates(
     shared = shared.groupBy("m", "n", "least", "whole").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("m") / block_classes), F.ceil(F.col("n") / block_shingles)).cast("int")
     shared = work.write(shared.select("bucket", blocks.alias("blocks")), "shared")
-    members = work.write(banded.join(shared, "bucket").select("bucket", "rep", "blocks"), "members")
+    members = work.write(banded.join(shared.hint("merge"), "bucket").select("bucket", "rep", "blocks"), "members")
     # the text of each class that meets another: its first paragraph's
-    asked = members.select("rep").distinct().join(classes, "rep").select(F.col("first.seq").alias("seq"))
-    texts = work.write(units.select("seq", "rep", "sig", "text").join(asked, "seq", "left_semi").select("rep", "sig", "text"), "texts")
+    asked = members.select("rep").distinct().hint("merge").join(classes, "rep").select(F.col("first.seq").alias("seq"))
+    texts = work.write(units.select("seq", "rep", "sig", "text").join(asked.hint("merge"), "seq", "left_semi").select("rep", "sig", "text"), "texts")
     edges = class_links(work, members, texts, percent, width, bands * rows, plain=True)
     linked = components(work, edges)
     work.drop(banded, shared, members, texts)
 
-    clustered = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("times > 1 OR root IS NOT NULL")
+    clustered = classes.join(linked.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").where("times > 1 OR root IS NOT NULL")
     clustered = work.write(clustered.select("rep", "first", F.coalesce("root", "rep").alias("root")), "clustered")
     keep = work.write(clustered.groupBy("root").agg(F.min("first").alias("keep")), "kept")
     table = work.write(clustered.join(keep, "root").select("rep", "keep"), "keepers")
-    placed = units.select("doc_id", "seq", "rep").join(table, "rep", "left")
+    placed = units.select("doc_id", "seq", "rep").join(table.hint("merge"), "rep", "left")
     gone = F.col("keep").isNotNull() & (F.col("keep.seq") != F.col("seq"))
     placed = placed.select("doc_id", F.lit(1).alias("one"), F.when(gone, F.col("keep.doc_id")).alias("keeper"))
     placed = placed.union(cut.where("rep IS NULL").select("doc_id", F.lit(0), F.lit(None).cast("long")))
