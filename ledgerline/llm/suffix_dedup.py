@@ -10,7 +10,8 @@ anchors, so the occurrences of an anchor, with the bytes around them that such s
 2. Per bucket: anchors of one document only are dropped. If all occurrences have the same bytes around, they are one
    interval longer than the threshold, and the smallest document is known. The others ask for the bytes themselves,
    once for each different surrounding.
-3. Per bucket, the surroundings are put together in blocks of bounded size and their transform is built. Breadth-first
+3. Per bucket, surroundings that share the anchor and half of the other bytes on one side with another (no other can
+   share a string) are put together in blocks of bounded size and their transform is built. Breadth-first
    backward extension splits the interval of all suffixes level by level: level l marks where neighbours share l bytes
    and no more, so common prefixes come up by increasing value, and it stops at `least`. What is not split by then are
    the equal strings; the smallest document of each goes back to the chunks that hold it.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import Workspace
+from ledgerline.llm.common import Workspace, trimmed
 
 NO_DOC = np.int64(2**63 - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -299,7 +300,7 @@ def showing(least: int, gram: int):
                 lo = np.maximum(text.starts[doc[at]], p[at] - (w - 1))
                 hi = np.minimum(text.ends[doc[at]], p[at] + least)
                 body = b"".join([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-                head = packed({"k": want, "doc": ids, "n": (hi - lo).astype(np.int64), "h": h[at]})
+                head = packed({"k": want, "doc": ids, "n": (hi - lo).astype(np.int64), "h": h[at], "left": (p[at] - lo).astype(np.int64)})
                 yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int64()), pa.array([4], pa.int32()), pa.array([head], pa.binary()), pa.array([press.compress(body)], pa.binary())], names=["bucket", "kind", "head", "body"])
 
     return run
@@ -308,36 +309,38 @@ def showing(least: int, gram: int):
 def equal_strings(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and where groups with equal first `least` symbols begin; symbol 0 parts strings.
 
-    Order up to 64 symbols comes from prefix doubling; groups from breadth-first backward extension on the transform.
+    Symbols are below 512. Order up to `least` symbols comes from prefix doubling; groups from breadth-first backward extension on the transform.
     """
     n = len(text)
-    rank, have = text.astype(np.int64), 1
-    while have < least:
-        second = np.full(n, -1, np.int64)
-        second[: n - have] = rank[have:]
-        order = np.lexsort((second, rank))
+    # seven symbols of nine bits first, then prefix doubling
+    have = 7
+    ends = np.concatenate([text.astype(np.int64), np.zeros(have, np.int64)])
+    value = np.zeros(n, np.int64)
+    for j in range(have):
+        value = value << 9 | ends[j : j + n]
+    while True:
+        suffixes = np.argsort(value)
+        ordered = value[suffixes]
         new = np.ones(n, bool)
-        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+        new[1:] = ordered[1:] != ordered[:-1]
+        if have >= least or new.all():
+            break
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank[suffixes] = np.cumsum(new)
+        value = rank * (n + 2)
+        value[: n - have] += rank[have:]
         have *= 2
-        if new.all():
-            break
-    suffixes = np.argsort(rank, kind="stable")
-    place = np.empty(n, np.int64)
-    place[suffixes] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[suffixes] = np.arange(n, dtype=np.int32)
     back = place[suffixes - 1]  # where the suffix one symbol longer stands; the first one's is the last symbol
-    transform = text[suffixes - 1]
-    starts = np.zeros(n, bool)
-    counts = np.bincount(transform, minlength=1)
+    counts = np.bincount(text, minlength=1)
     heads = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    heads = heads[heads < n]
-    bounds = np.zeros(n, bool)
+    starts, bounds = np.zeros(n, bool), np.zeros(n, bool)
+    starts[heads[heads < n]] = True
     bounds[0] = True
-    starts[heads] = True
-    moved = np.empty(n, np.int64)
+    moved = np.empty(n, np.int32)
     for _ in range(least):
-        moved[back] = np.cumsum(bounds)
+        moved[back] = np.cumsum(bounds, dtype=np.int32)
         longer = starts.copy()
         longer[1:] |= moved[1:] != moved[:-1]
         if (longer == bounds).all():
@@ -346,6 +349,27 @@ def equal_strings(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     return suffixes, bounds
 
 
+def may_meet(body: np.ndarray, starts: np.ndarray, size: np.ndarray, left: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """Surroundings that another one can share a string of `least` bytes with.
+
+    Such a string has the anchor and, on one of its sides, at least half of the other bytes; so the anchor with that many
+    bytes on this side is shared as well.
+    """
+    half = (least - gram + 1) // 2
+    n = gram + half
+    factors = np.array([pow(int(BASE), j + 1, 2**64) for j in range(n)], np.uint64)
+    out = np.zeros(len(size), bool)
+    for first, fits in ((left, left + n <= size), (left - half, left >= half)):
+        i = np.flatnonzero(fits)
+        h = np.empty(len(i), np.uint64)
+        for a in range(0, len(i), 50_000):
+            at = (starts[i[a : a + 50_000]] + first[i[a : a + 50_000]])[:, None] + np.arange(n)
+            h[a : a + 50_000] = (body[at].astype(np.uint64) * factors).sum(1)
+        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        out[i] |= times[which] > 1
+    return out
+
+
 def solving(least: int, gram: int, block_bytes: int):
     """Step 3: for each surrounding the smallest document of each string of `least` bytes in it, sent to its holders."""
 
@@ -357,39 +381,46 @@ def solving(least: int, gram: int, block_bytes: int):
             shown = [r for r in rows if r[0] == 4]
             if not shown:
                 continue
-            heads = [unpacked(r[1], [np.uint64, np.int64, np.int64, np.uint64]) for r in shown]
-            k, doc, size, h = (np.concatenate([x[i] for x in heads]) for i in range(4))
+            heads = [unpacked(r[1], [np.uint64, np.int64, np.int64, np.uint64, np.int64]) for r in shown]
+            k, doc, size, h, left = (np.concatenate([x[i] for x in heads]) for i in range(5))
             body = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r[2]) for r in shown), np.uint8)
             ends = np.cumsum(size)
+            windows = np.maximum(0, size - least + 1)
             # strings that share an anchor can be equal; blocks are cut between anchors
-            order = np.argsort(h, kind="stable")
-            answer = np.empty(len(k), object)
+            some = np.flatnonzero(may_meet(body, ends - size, size, left, least, gram))
+            order = some[np.argsort(h[some], kind="stable")]
+            varied: dict[int, np.ndarray] = {}  # by place in k; the others' strings stand in their own document first
+            constant = doc.copy()
             a = 0
             sizes, marks = size[order], h[order]
+            totals = np.cumsum(sizes + 1)
             while a < len(order):
-                b = a + int(np.searchsorted(np.cumsum(sizes[a:] + 1), block_bytes, "right"))
-                b = max(b, a + 1)
+                done = totals[a - 1] if a else 0
+                b = max(int(np.searchsorted(totals, done + block_bytes, "right")), a + 1)
                 while b < len(order) and marks[b] == marks[b - 1]:
                     b += 1
                 part = order[a:b]
-                parts = [body[ends[i] - size[i] : ends[i]] for i in part]
                 text = np.zeros(int(sizes[a:b].sum()) + len(part), np.int32)
                 starts = np.concatenate([[0], np.cumsum(sizes[a:b] + 1)])[:-1]
                 whose = np.repeat(np.arange(len(part)), sizes[a:b] + 1)
                 where = np.arange(len(text)) - starts[whose]
-                inside = where < sizes[a:b][whose]
-                text[inside] = np.concatenate(parts).astype(np.int32) + 1
+                text[where < sizes[a:b][whose]] = np.concatenate([body[ends[i] - size[i] : ends[i]] for i in part]).astype(np.int32) + 1
                 suffixes, bounds = equal_strings(text, least)
-                starting = where + least <= sizes[a:b][whose]
-                ids = np.where(starting, doc[part][whose], NO_DOC)[suffixes]
+                ids = np.where(where + least <= sizes[a:b][whose], doc[part][whose], NO_DOC)[suffixes]
                 g = np.flatnonzero(bounds)
-                low = np.repeat(np.minimum.reduceat(ids, g), np.diff(np.append(g, len(ids))))
                 of = np.empty(len(text), np.int64)
-                of[suffixes] = low
-                for j, i in enumerate(part):
-                    answer[i] = of[starts[j] : starts[j] + max(0, size[i] - least + 1)]
+                of[suffixes] = np.repeat(np.minimum.reduceat(ids, g), np.diff(np.append(g, len(ids))))
+                for j, i in enumerate(part.tolist()):
+                    v = of[starts[j] : starts[j] + windows[i]]
+                    if len(v) and (v != v[0]).any():
+                        varied[i] = v
+                    elif len(v):
+                        constant[i] = v[0]
                 a = b
             o = np.argsort(k)
+            sorted_k = k[o]
+            plain = np.ones(len(k), bool)
+            plain[list(varied)] = False
             for r in rows:
                 if r[0] != 3:
                     continue
@@ -398,11 +429,16 @@ def solving(least: int, gram: int, block_bytes: int):
                 hk, hc = hk[by], hc[by]
                 s = starts_of(hc)
                 for x, y in zip(s, [*s[1:], len(hc)], strict=True):
-                    at = o[np.searchsorted(k[o], hk[x:y])]
-                    smallest = [answer[i] for i in at]
-                    lengths = np.array([len(v) for v in smallest], np.int64)
-                    blob = packed({"k": hk[x:y], "n": lengths}), packed({"v": np.concatenate(smallest) if len(smallest) else np.zeros(0, np.int64)})
-                    yield pa.RecordBatch.from_arrays([pa.array([int(hc[x])], pa.int64()), pa.array([5], pa.int32()), pa.array([blob[0]], pa.binary()), pa.array([blob[1]], pa.binary())], names=["chunk", "kind", "docs", "blob"])
+                    at = o[np.searchsorted(sorted_k, hk[x:y])]
+                    one = plain[at] & (windows[at] > 0)
+                    out = [(1, packed({"k": hk[x:y][one], "doc": constant[at[one]]}), b"")]
+                    if not plain[at].all():
+                        several = [varied[i] for i in at[~plain[at]].tolist()]
+                        lengths = np.array([len(v) for v in several], np.int64)
+                        out.append((5, packed({"k": hk[x:y][~plain[at]], "n": lengths}), packed({"v": np.concatenate(several)})))
+                    for kind, head, values in out:
+                        row = (int(hc[x]), kind, head, values)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "docs", "blob"])
 
     return run
 
@@ -428,12 +464,12 @@ def marking(least: int, gram: int):
             sorted_k = k[o]
             ids = text.docs[doc]
             lo, hi = np.maximum(text.starts[doc], p - (w - 1)), np.minimum(text.ends[doc], p + least)
-            edge = np.zeros(len(text.bytes) + 1, np.int64)
+            edge = np.zeros(len(text.bytes) + 1, np.int32)
             for kind, head, _, blob in rows:
                 if kind not in (1, 5):
                     continue
                 if kind == 1:
-                    want, smallest = unpacked(blob, [np.uint64, np.int64])
+                    want, smallest = unpacked(head if head is not None else blob, [np.uint64, np.int64])
                 else:
                     want, lengths = unpacked(head, [np.uint64, np.int64])
                     [values] = unpacked(blob, [np.int64])
@@ -453,7 +489,7 @@ def marking(least: int, gram: int):
                     s = (lo[at[each]] + step)[hit]
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + least, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
             out = [[] for _ in range(5)]
             for i, (d, s, e) in enumerate(zip(text.docs.tolist(), text.starts.tolist(), text.ends.tolist(), strict=True)):
                 g = gone[s:e]
@@ -468,7 +504,7 @@ def marking(least: int, gram: int):
 
 
 def remove_repeats(
-    spark: SparkSession, docs: DataFrame, least: int = 50, chunk_bytes: int = 24 << 20, bucket_bytes: int = 16 << 20,
+    spark: SparkSession, docs: DataFrame, least: int = 50, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20,
     block_bytes: int = 2 << 20, least_buckets: int = 32, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row; see the module's docstring."""
@@ -477,11 +513,11 @@ def remove_repeats(
         gram = max(g for g in (1, 4, 5, 16, 17, 20, 21) if g <= gram)
     work = Workspace(spark, "suffix")
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks = work.write(some.mapInArrow(chunker(chunk_bytes), CHUNK), "chunks")
+    chunks = work.write(some.mapInArrow(trimmed(chunker(chunk_bytes)), CHUNK), "chunks")
     size = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(least_buckets, -(-int(size) // bucket_bytes))
-    offered = chunks.mapInArrow(offering(least, gram, buckets), "bucket long, chunk long, blob binary")
-    decided = offered.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(deciding, "chunk long, kind int, bucket long, blob binary")
+    offered = chunks.mapInArrow(trimmed(offering(least, gram, buckets)), "bucket long, chunk long, blob binary")
+    decided = offered.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(deciding), "chunk long, kind int, bucket long, blob binary")
     decided = work.write(decided, "decided")
     work.release()
 
@@ -489,12 +525,12 @@ def remove_repeats(
     parts = min(n_chunks, max(1, spark.sparkContext.defaultParallelism * 4, n_chunks // 4))
     nothing = F.lit(None).cast("binary")
     asked = chunks.select("chunk", "kind", F.lit(-1).cast("long").alias("bucket"), "docs", "ends", "blob").union(decided.where("kind = 2").select("chunk", "kind", "bucket", nothing.alias("docs"), nothing.alias("ends"), "blob"))
-    shown = asked.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(showing(least, gram), "bucket long, kind int, head binary, body binary")
+    shown = asked.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(trimmed(showing(least, gram)), "bucket long, kind int, head binary, body binary")
     holders = decided.where("kind = 3").select("bucket", "kind", F.col("blob").alias("head"), nothing.alias("body"))
-    solved = shown.union(holders).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(solving(least, gram, block_bytes), "chunk long, kind int, docs binary, blob binary")
+    solved = shown.union(holders).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(solving(least, gram, block_bytes)), "chunk long, kind int, docs binary, blob binary")
     solved = work.write(solved, "solved")
     work.release()
 
     sure = decided.where("kind = 1").select("chunk", "kind", nothing.alias("docs"), nothing.alias("ends"), "blob")
     all_ = chunks.select("chunk", "kind", "docs", "ends", "blob").union(sure).union(solved.select("chunk", "kind", "docs", nothing.alias("ends"), "blob"))
-    return all_.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(marking(least, gram), RESULT)
+    return all_.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(trimmed(marking(least, gram)), RESULT)
