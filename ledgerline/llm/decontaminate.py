@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table_bytes
+from ledgerline.llm.common import table_bytes, trimmed
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*\s+")
@@ -217,7 +217,7 @@ def leaks(
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
     for index in indexes(spark, items, width, shard_bytes, item_id, item_text):
-        part = some.mapInArrow(finder(index, least_score, share), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        part = some.mapInArrow(trimmed(finder(index, least_score, share)), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
         out = part if out is None else out.union(part)
     return out
 
@@ -228,5 +228,5 @@ def clean(
 ) -> DataFrame:
     """The rows of docs, with all their columns, that leak no item."""
     for index in indexes(spark, items, width, shard_bytes, item_id, item_text):
-        docs = docs.mapInArrow(cleaner(index, text, least_score, share), docs.schema)
+        docs = docs.mapInArrow(trimmed(cleaner(index, text, least_score, share)), docs.schema)
     return docs

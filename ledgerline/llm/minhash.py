@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Workspace
+from ledgerline.llm.common import Workspace, trimmed
 from ledgerline.llm.components import components
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, buckets array<long>, sig binary, text binary"
@@ -149,7 +149,7 @@ def class_links(work: Workspace, members: DataFrame, texts: DataFrame, percent:
     agree = s + (1 - s) / 256
     least_equal = int(n_minima * agree - 5 * (n_minima * agree * (1 - agree)) ** 0.5)
     dealt = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    edges = work.write(dealt.mapInArrow(checker(width, percent, least_equal, plain), "u long, v long"), "links")
+    edges = work.write(dealt.mapInArrow(trimmed(checker(width, percent, least_equal, plain)), "u long, v long"), "links")
     work.drop(payload)
     return edges
 
@@ -161,7 +161,7 @@ def near_duplicates(
     """doc_id, n_shingles, component_id and kept for each row; see the module's docstring."""
     work = Workspace(spark, "minhash")
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = work.write(some.mapInArrow(signer(bands, rows, width), SIGNED), "signed")
+    signed = work.write(some.mapInArrow(trimmed(signer(bands, rows, width)), SIGNED), "signed")
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = work.write(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.llm.common import trimmed
+
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
@@ -50,7 +52,7 @@ class WordTokenizer:
     parts of other characters, are encoded as they are.
     """
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -267,4 +269,4 @@ def pack(
     if window & (window - 1) or smallest & (smallest - 1):
         raise ValueError("window and smallest must be powers of two")
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return some.mapInArrow(packer(tokenizer_path, window, smallest, end_id, block_tokens, group_tokens), SCHEMA)
+    return some.mapInArrow(trimmed(packer(tokenizer_path, window, smallest, end_id, block_tokens, group_tokens)), SCHEMA)

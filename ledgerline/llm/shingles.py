@@ -36,7 +36,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Shingler:
-    def __init__(self, width: int = 5, cache_size: int = 400_000):
+    def __init__(self, width: int = 5, cache_size: int = 200_000):
         if not 1 <= width <= len(PLACES):
             raise ValueError(f"width must be 1 to {len(PLACES)}")
         self.width, self.cache_size, self.words = width, cache_size, WordHashes()
