@@ -96,7 +96,8 @@ def cutter(width: int, least_words: int, bands: int, rows: int):
                     b = np.zeros((n, bands), np.uint64) + bits
                     for r in range(rows):
                         b = mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + wide[:, :, r])
-                    buckets = [r.tobytes() for r in b]
+                    # 48 bits of each band's hash: chance collisions cost a check, no result
+                    buckets = [r.tobytes() for r in (b >> np.uint64(16)).view(np.uint8).reshape(n, bands, 8)[:, :, :6]]
                 m = len(ids)
                 total = n + m
                 yield pa.RecordBatch.from_arrays(
@@ -128,7 +129,7 @@ def offering(bands: int, parts: int):
             b = b.reshape(-1)
             o = np.argsort(b, kind="stable")
             b, rep, n = b[o], rep[o], n[o]
-            cuts = np.searchsorted(b, np.array([k * 2**64 // parts for k in range(parts)], np.uint64))
+            cuts = np.searchsorted(b, np.array([k * 2**48 // parts for k in range(parts)], np.uint64))
             cuts = np.append(cuts, len(b))
             for k in range(parts):
                 i = slice(cuts[k], cuts[k + 1])
@@ -137,7 +138,9 @@ def offering(bands: int, parts: int):
 
         held, count = [], 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, bands)))
+            wide = np.zeros((batch.num_rows, bands, 8), np.uint8)
+            wide[:, :, :6] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, bands, 6)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), wide.reshape(-1, bands * 8).view(np.uint64)))
             count += batch.num_rows
             if count >= 400_000:
                 yield from flush(held)
