@@ -22,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, read_table(spark, sf_dir, "documents"))
+    return scan(spark, read_table(spark, sf_dir, "documents"), best_only=True)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

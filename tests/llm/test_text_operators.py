@@ -206,6 +206,34 @@ def test_license_gate_loses_nothing():
                 assert gate.search(" ".join(left))
 
 
+#: Notices as projects put them into their files, written without the templates at hand.
+NOTICES = {
+    "MIT": ["Released under the MIT License.", "Released under the terms of the MIT license.", "// Licensed under the MIT License"],
+    "All-rights-reserved": ["Copyright (c) 2019 Example Corp. All rights reserved.", "ALL RIGHTS RESERVED"],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU General Public License, version 2.",
+    ],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "CC0-1.0": ["To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work."],
+    "EPL-2.0": ["This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+}
+
+
+def test_licenses_of_notices_as_they_are_found(spark):
+    texts = [(kind, f"some words before it\n{t}\nand some after it") for kind, more in NOTICES.items() for t in more]
+    texts.append(("GPL-2.0 GPL-3.0", f"{NOTICES['GPL-2.0'][0]} {NOTICES['GPL-3.0'][0]}"))  # side by side both count
+    rows = licenses.scan(spark, spark.createDataFrame(list(enumerate(t for _, t in texts)), "doc_id long, text string"), best_only=True).collect()
+    got = {k: set() for k in range(len(texts))}
+    for x in rows:
+        got[x["doc_id"]].add(licenses.FORM.sub("", x["license"]))
+    assert got == {k: set(kind.split()) for k, (kind, _) in enumerate(texts)}
+
+
 # personal data
 
 RX = {
