@@ -225,6 +225,34 @@ def test_paragraphs_against_brute_force(spark):
     assert paragraph_duplicates(spark, frame.limit(0)).count() == 0
 
 
+def first_of_clusters(sets):
+    u = Union()
+    for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
+        if 100 * len(x & y) >= 80 * len(x | y):
+            u.join(i, j)
+    return [u.find(k) for k in range(len(sets))]
+
+
+def test_pipeline_near_dedup_takes_pairs_from_four_fifths(spark):
+    import corpus_pipeline
+
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        w = [word() for _ in range(104)]
+        texts.append(" ".join(w))
+        n = r.choice([8, 9, 10, 11, 12])  # 100 shingles, n of them changed at the end: J is 0.85 to 0.79
+        texts.append(" ".join([*w[: 104 - n], *(word() for _ in range(n))]))
+    sets = [shingles(t) for t in texts]
+    found = [100 * len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(80 <= x < 85 for x in found) > 20 and any(x < 80 for x in found)
+    first = first_of_clusters(sets)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+    assert got == {k for k, x in enumerate(first) if k == x}
+
+
 # exact search
 
 
