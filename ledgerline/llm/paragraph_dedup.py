@@ -1,15 +1,20 @@
 """Operator 6: near-duplicate paragraphs by MinHash banding, exact verification and components.
 
 The paragraphs are sentences (runs of words up to a word that ends in . ! ? or to a line's end) of `least_words` words
-or more, so that a passage which stands in the midst of different texts still gives equal units. Paragraphs with equal
-shingle sets are one class. Few minima in short bands make recall high (6 bands of 2: a pair at Jaccard 0.8 is missed
-with a chance of 0.2 %, one at 0.9 with 5e-5); band hashes travel as packed arrays, and only classes that share a
-band's hash go on as rows. Those are verified on full sets, in bounded units, and clustered by components. Of every
-cluster the first paragraph (smallest doc_id, then order in the text) stays, the others are removals.
-
-Defined results: null, empty and short texts have no paragraphs. Rows without a doc_id take no part and are not
-returned. Rows that repeat a doc_id count as one document, and their paragraphs as its own. Other columns are ignored.
-An empty table gives no rows.
+or more, so that a passage which stands in the midst of different texts still gives equal units. Fewer words than a
+shingle has are one shingle. With `whole`, lines are matched as wholes first, and those that are near copies of an
+earlier line go with all their sentences; the sentences of the lines that stay are matched then, so that what a sentence
+gives way to stands in a line that stays. Only sentences are counted. Paragraphs with equal shingle sets are one class.
+Few minima in short bands make recall high (6 bands of 2: a pair at Jaccard 0.8 is missed with a chance of 0.2 %, one at
+0.9 with 5e-5); band hashes travel as packed arrays, and only classes that share a band's hash go on as rows. Sets too
+small to reach the threshold with any other set (below 4 shingles at 0.8) have equal ones only, which are one class
+already, so they have no bands. Those that meet are verified on full sets, in bounded units, and clustered by
+components. Of every cluster the first paragraph (smallest doc_id, then order in the text) stays, the others are
+removals.
+
+Defined results: null and empty texts and those below `least_words` have no paragraphs. Rows without a doc_id take no
+part and are not returned. Rows that repeat a doc_id count as one document, and their paragraphs as its own. Other
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,23 +33,28 @@ from ledgerline.llm.suffix_dedup import grouped, packed, starts_of, unpacked
 ENDS = frozenset(b".!?")
 
 
-def paragraphs(text: str | None, least_words: int) -> list[list[bytes]]:
-    out = []
-    for line in (text or "").split("\n"):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        a = 0
-        for b, w in enumerate(words):
-            if w[-1] in ENDS:
-                if b + 1 - a >= least_words:
-                    out.append(words[a : b + 1])
-                a = b + 1
-        if len(words) - a >= least_words:
-            out.append(words[a:])
+def sentences(words: list[bytes], least_words: int) -> list[list[bytes]]:
+    out, a = [], 0
+    for b, w in enumerate(words):
+        if w[-1] in ENDS:
+            if b + 1 - a >= least_words:
+                out.append(words[a : b + 1])
+            a = b + 1
+    if len(words) - a >= max(1, least_words):
+        out.append(words[a:])
     return out
 
 
-def cutter(width: int, least_words: int, bands: int, rows: int):
-    """A row for each paragraph, and one without a key for each document."""
+def lines(text: str | None) -> list[list[bytes]]:
+    return [line.encode("utf-8", "surrogatepass").lower().split() for line in (text or "").split("\n")]
+
+
+def paragraphs(text: str | None, least_words: int) -> list[list[bytes]]:
+    return [p for words in lines(text) for p in sentences(words, least_words)]
+
+
+def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, whole: bool = False):
+    """A row for each paragraph (after one for its line where whole), and one without a key for each document."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -58,29 +68,40 @@ def cutter(width: int, least_words: int, bands: int, rows: int):
         bits = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for a in range(0, batch.num_rows, 300):
-                docs, parts = [], []
+                docs, parts, heads = [], [], []  # heads: the place of a paragraph's line, its own for a line
                 ids = batch.column(0).slice(a, 300).to_pylist()
                 for doc, text in zip(ids, batch.column(1).slice(a, 300).to_pylist(), strict=True):
-                    more = paragraphs(text, least_words)
-                    parts += more
-                    docs += [doc] * len(more)
+                    before = len(parts)
+                    for words in lines(text):
+                        more = sentences(words, least_words)
+                        if whole and more:
+                            more = [words, *more]
+                        heads += [len(parts)] * len(more)
+                        parts += more
+                    docs += [doc] * (len(parts) - before)
                 if len(cache) > 400_000:
                     cache.clear()
                 n = len(parts)
-                keys = sigs = buckets = []
+                keys = sigs = buckets = banded = []
                 sizes = np.zeros(0, np.int64)
                 if n:
                     lengths = np.array([len(p) for p in parts])
                     w = np.fromiter((cache[x] for p in parts for x in p), np.uint64, lengths.sum())
-                    h = w[: len(w) - width + 1] * PLACES[0]
-                    for j in range(1, width):
-                        part = w[j : len(w) - width + 1 + j]
-                        h += (part ^ (part >> np.uint64(31))) * PLACES[j]
-                    h = mix(h)
-                    of = np.repeat(np.arange(n), lengths)[: len(h)]
-                    place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)[: len(h)]
-                    inside = place + width <= lengths[of]
-                    h, of = h[inside], of[inside]
+                    ends = np.cumsum(lengths)
+                    h, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    if len(w) >= width:
+                        h = w[: len(w) - width + 1] * PLACES[0]
+                        for j in range(1, width):
+                            part = w[j : len(w) - width + 1 + j]
+                            h += (part ^ (part >> np.uint64(31))) * PLACES[j]
+                        h = mix(h)
+                        of = np.repeat(np.arange(n), lengths)[: len(h)]
+                        place = np.arange(len(h)) - (ends - lengths)[of]
+                        inside = place + width <= lengths[of]
+                        h, of = h[inside], of[inside]
+                    short = np.flatnonzero(lengths < width)
+                    one = [xxhash.xxh3_64_intdigest(b" ".join(parts[k]), seed=len(parts[k])) for k in short.tolist()]
+                    h, of = np.concatenate([h, np.array(one, np.uint64)]), np.concatenate([of, short])
                     o = np.lexsort((h, of))
                     h, of = h[o], of[o]
                     first = starts_of(of, h)
@@ -91,13 +112,15 @@ def cutter(width: int, least_words: int, bands: int, rows: int):
                     x = (h >> np.uint64(32)).astype(np.uint32)
                     sig = np.stack([np.minimum.reduceat(x * a_ + b_, starts) for a_, b_ in zip(minima.a, minima.b, strict=True)], 1)
                     low = sig.astype(np.uint8)
-                    sigs = [r.tobytes() for r in low]
+                    banded = (100 * sizes >= percent * (sizes + 1)).tolist()
+                    sigs = [r.tobytes() if k else None for r, k in zip(low, banded, strict=True)]
                     wide = sig.reshape(n, bands, rows).astype(np.uint64)
                     b = np.zeros((n, bands), np.uint64) + bits
                     for r in range(rows):
                         b = mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + wide[:, :, r])
                     # 48 bits of each band's hash: chance collisions cost a check, no result
-                    buckets = [r.tobytes() for r in (b >> np.uint64(16)).view(np.uint8).reshape(n, bands, 8)[:, :, :6]]
+                    six = (b >> np.uint64(16)).view(np.uint8).reshape(n, bands, 8)[:, :, :6]
+                    buckets = [r.tobytes() if k else None for r, k in zip(six, banded, strict=True)]
                 m = len(ids)
                 total = n + m
                 yield pa.RecordBatch.from_arrays(
@@ -105,9 +128,10 @@ def cutter(width: int, least_words: int, bands: int, rows: int):
                         pa.array([*docs, *ids], pa.int64()), pa.array(range(seq, seq + total), pa.int64()),
                         pa.array([*(keys.tolist() if n else []), *[None] * m], pa.int64()), pa.array([*sizes.tolist(), *[0] * m], pa.int64()),
                         pa.array([*sigs, *[None] * m], pa.binary()), pa.array([*buckets, *[None] * m], pa.binary()),
-                        pa.array([*(b" ".join(p) for p in parts), *[None] * m], pa.binary()),
+                        pa.array([*(b" ".join(p) if k else None for p, k in zip(parts, banded, strict=True)), *[None] * m], pa.binary()),
+                        pa.array([*(seq + k for k in heads), *[None] * m], pa.int64()),
                     ],
-                    names=["doc_id", "seq", "rep", "n", "sig", "buckets", "text"],
+                    names=["doc_id", "seq", "rep", "n", "sig", "buckets", "text", "line"],
                 )
                 seq += total
 
@@ -169,21 +193,18 @@ def meeting(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(b[keep].view(np.int64)), pa.array(rep[keep]), pa.array(n[keep])], names=["bucket", "rep", "n"])
 
 
-def paragraph_duplicates(
-    spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 8, bands: int = 6, rows: int = 2,
-    block_classes: int = 512, block_shingles: int = 1 << 20, part_classes: int = 400_000, doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """For each document: doc_id, n_paragraphs, n_removed, and the documents that keep what is removed (keepers)."""
-    work = Workspace(spark, "paragraphs")
-    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    cut = work.write(some.mapInArrow(trimmed(cutter(width, least_words, bands, rows)), "doc_id long, seq long, rep long, n long, sig binary, buckets binary, text binary"), "paragraphs")
-    units = cut.where("rep IS NOT NULL")
+def keepers(work: Workspace, units: DataFrame, payload: DataFrame, percent: int, width: int, bands: int, rows: int, block_classes: int, block_shingles: int, part_classes: int) -> DataFrame:
+    """rep and keep (doc_id and seq of the first unit of its cluster) of each class that has a duplicate.
+
+    units: doc_id, seq, rep; payload: seq, rep, n, sig, buckets, text of the same units at least, as others add nothing.
+    """
     # one row for each class: the first paragraph, which is also the one to stay of equal ones
     place = F.struct("doc_id", "seq")
     classes = work.write(units.groupBy("rep").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")), "classes")
     work.release()
-    parts = max(32, -(-units.count() * bands // (part_classes * 8)))
-    offered = units.select("rep", "n", "buckets").mapInArrow(trimmed(offering(bands, parts)), "part long, blob binary")
+    payload = payload.where("buckets IS NOT NULL")
+    parts = max(32, -(-payload.count() * bands // (part_classes * 8)))
+    offered = payload.select("rep", "n", "buckets").mapInArrow(trimmed(offering(bands, parts)), "part long, blob binary")
     banded = offered.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(meeting), "bucket long, rep long, n long")
     banded = work.write(banded, "banded")
     work.release()
@@ -193,20 +214,51 @@ def paragraph_duplicates(
     blocks = F.greatest(F.ceil(F.col("m") / block_classes), F.ceil(F.col("n") / block_shingles)).cast("int")
     shared = work.write(shared.select("bucket", blocks.alias("blocks")), "shared")
     members = work.write(banded.join(shared.hint("merge"), "bucket").select("bucket", "rep", "blocks"), "members")
+    work.drop(banded, shared)
     # the text of each class that meets another: its first paragraph's
     asked = members.select("rep").distinct().hint("merge").join(classes, "rep").select(F.col("first.seq").alias("seq"))
-    texts = work.write(units.select("seq", "rep", "sig", "text").join(asked.hint("merge"), "seq", "left_semi").select("rep", "sig", "text"), "texts")
+    texts = work.write(payload.select("seq", "rep", "sig", "text").join(asked.hint("merge"), "seq", "left_semi").select("rep", "sig", "text"), "texts")
     edges = class_links(work, members, texts, percent, width, bands * rows, plain=True)
+    work.drop(members, texts)
     linked = components(work, edges)
-    work.drop(banded, shared, members, texts)
 
     clustered = classes.join(linked.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").where("times > 1 OR root IS NOT NULL")
     clustered = work.write(clustered.select("rep", "first", F.coalesce("root", "rep").alias("root")), "clustered")
+    work.drop(classes)
     keep = work.write(clustered.groupBy("root").agg(F.min("first").alias("keep")), "kept")
     table = work.write(clustered.join(keep, "root").select("rep", "keep"), "keepers")
+    work.drop(clustered, keep)
+    return table
+
+
+def paragraph_duplicates(
+    spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 8, bands: int = 6, rows: int = 2,
+    block_classes: int = 512, block_shingles: int = 1 << 20, part_classes: int = 400_000, whole: bool = False, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """For each document: doc_id, n_paragraphs, n_removed, and the documents that keep what is removed (keepers)."""
+    work = Workspace(spark, "paragraphs")
+    options = percent, width, bands, rows, block_classes, block_shingles, part_classes
+    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    made = some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole)), "doc_id long, seq long, rep long, n long, sig binary, buckets binary, text binary, line long")
+    cut = work.write(made, "paragraphs")
+    units, lost = cut.where("rep IS NOT NULL"), None
+    if whole:
+        heads = units.where("seq = line")
+        table = keepers(work, heads, heads, *options)
+        lost = heads.select("seq", "rep").join(table.hint("merge"), "rep").where("keep.seq != seq").select(F.col("seq").alias("line"), F.col("keep.doc_id").alias("keeper"))
+        lost = work.write(lost, "lost")
+        work.drop(table)
+        work.release()
+        payload = units.where("seq != line")
+        units = work.write(payload.select("doc_id", "seq", "rep", "line").join(lost.select("line").hint("merge"), "line", "left_anti").drop("line"), "staying")
+    else:
+        payload = units
+    table = keepers(work, units, payload, *options)
     placed = units.select("doc_id", "seq", "rep").join(table.hint("merge"), "rep", "left")
     gone = F.col("keep").isNotNull() & (F.col("keep.seq") != F.col("seq"))
     placed = placed.select("doc_id", F.lit(1).alias("one"), F.when(gone, F.col("keep.doc_id")).alias("keeper"))
+    if lost is not None:
+        placed = placed.union(payload.select("doc_id", "line").join(lost.hint("merge"), "line").select("doc_id", F.lit(1), "keeper"))
     placed = placed.union(cut.where("rep IS NULL").select("doc_id", F.lit(0), F.lit(None).cast("long")))
     return placed.groupBy("doc_id").agg(
         F.sum(F.col("one").cast("long")).alias("n_paragraphs"), F.count("keeper").alias("n_removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"),

@@ -38,7 +38,7 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_duplicates(spark, read_table(spark, sf_dir, "documents"))
+    return paragraph_duplicates(spark, read_table(spark, sf_dir, "documents"), least_words=1, whole=True)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from ledgerline.llm.components import components  # noqa: E402
 from ledgerline.llm.knn import knn_join  # noqa: E402
 from ledgerline.llm.minhash import near_duplicates, unit_links  # noqa: E402
 from ledgerline.llm.paragraph_dedup import paragraph_duplicates, paragraphs  # noqa: E402
+from ledgerline.llm.queries import QUERIES  # noqa: E402
 from ledgerline.llm.shingles import Shingler, overlap  # noqa: E402
 from ledgerline.llm.suffix_dedup import equal_strings, remove_repeats, slide  # noqa: E402
 from ledgerline.llm.tool_calls import link  # noqa: E402
@@ -225,6 +227,14 @@ def test_paragraphs_against_brute_force(spark):
     assert paragraph_duplicates(spark, frame.limit(0)).count() == 0
 
 
+def own_units(text):
+    """Shingle sets of each line and of its sentences, by a splitter of the test's own."""
+    for line in re.split(r"\n", text or ""):
+        if line.strip():
+            cut = re.findall(r"\S[^\n]*?[.!?](?=\s|$)|\S[^\n]*$", line.strip())
+            yield shingles(line), [shingles(x) for x in cut]
+
+
 def first_of_clusters(sets):
     u = Union()
     for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
@@ -233,6 +243,42 @@ def first_of_clusters(sets):
     return [u.find(k) for k in range(len(sets))]
 
 
+def test_all_paragraphs_as_the_query_takes_them(spark, tmp_path):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line = lambda: [[word() for _ in range(12)] for _ in range(5)]
+    put = lambda x: " ".join(" ".join(s) + "." for s in x)
+    pool, texts = [line() for _ in range(12)], []
+    for k in range(40):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            x = [list(s) for s in r.choice(pool)] if r.random() < 0.6 else line()
+            if r.random() < 0.5:
+                x[2][6] = word()  # the sentence keeps 3 of 13 shingles, its line above 0.8
+            parts.append(put(x))
+        parts.append(r.choice(["Read more.", "Share this page with friends", "Back to top of page!", word(), "Yes. No. Yes."]))
+        texts.append((k, "\n".join(parts)))
+    texts += [(50, None), (51, ""), (52, " \n . \n")]
+    held = [(d, whole, cut) for d, t in texts for whole, cut in own_units(t)]
+    heads = first_of_clusters([whole for _, whole, _ in held])
+    want = {d: [0, 0, set()] for d, _ in texts}
+    staying = []
+    for k, (d, _, cut) in enumerate(held):
+        want[d][0] += len(cut)
+        if heads[k] != k:
+            want[d][1] += len(cut)
+            want[d][2].add(held[heads[k]][0])
+        else:
+            staying += [(d, s) for s in cut]
+    for k, first in enumerate(first_of_clusters([s for _, s in staying])):
+        if first != k:
+            want[staying[k][0]][1] += 1
+            want[staying[k][0]][2].add(staying[first][0])
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: [x["n_paragraphs"], x["n_removed"], set(x["keepers"])] for x in QUERIES["op6_paragraphs"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 100
+
+
 def test_pipeline_near_dedup_takes_pairs_from_four_fifths(spark):
     import corpus_pipeline
 
