@@ -308,24 +308,30 @@ def test_top_k_against_brute_force(spark):
     v = [(k, (centres[k % 6] + 0.2 * r.normal(size=8)).astype(float).tolist(), "x", 1, 0.0) for k in range(900)]
     v += [(k, [1.0] * 8, "x", 1, 0.0) for k in range(1000, 1400)]  # one very common vector, many ties
     v += [(2000, None, "x", 1, 0.0), (2020, [1.0, None, 2.0], "x", 1, 0.0), (2040, [float("nan")] * 8, "x", 1, 0.0), (2060, [float("inf")] * 8, "x", 1, 0.0), (2080, [], "x", 1, 0.0), (2100, [1.0, -1.0], "x", 1, 0.0), (None, [1.0] * 8, "x", 1, 0.0), v[20]]
+    v += [(1010, [2.0] * 8, "x", 1, 0.0), (40, v[41][1], "x", 1, 0.0)]  # ids that repeat with other vectors
     frame = spark.createDataFrame(v, "vec_id long, embedding array<double>, g string, slice int, score double")
-    good = {}
-    for k, e, *_ in v:
-        if k is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            good[k] = np.array([int(np.floor(64 * x)) for x in e] + [0] * (8 - len(e)))
-    ids = np.array(sorted(good))
-    m = np.stack([good[k] for k in ids])
-    want = set()
-    for q in ids[ids % 20 == 0]:
-        s = m @ good[q]
-        o = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
-        want |= {(int(q), n + 1, int(ids[i]), int(s[i])) for n, i in enumerate(o)}
+    good = [(k, [int(np.floor(64 * x)) for x in e] + [0] * (8 - len(e))) for k, e, *_ in v if k is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    ids, m = np.array([k for k, _ in good]), np.array([e for _, e in good])
+    want = []
+    for at in np.flatnonzero(ids % 20 == 0):  # each row asks, and all other rows are candidates
+        s = m @ m[at]
+        o = [i for i in np.lexsort((ids, -s)) if i != at][:20]
+        want += [(int(ids[at]), n + 1, int(ids[i]), int(s[i])) for n, i in enumerate(o)]
     for options in ({}, {"max_pivots": 7, "group_queries": 5, "slice_rows": 100}):
-        assert {tuple(x) for x in knn_join(spark, frame, **options).collect()} == want
+        assert sorted(tuple(x) for x in knn_join(spark, frame, **options).collect()) == sorted(want)
     few = knn_join(spark, frame.where("vec_id <= 3")).collect()
     assert len(few) == 3 and knn_join(spark, frame.limit(0)).count() == 0
 
 
+def test_top_k_of_a_large_query_among_small_vectors(spark):
+    r = np.random.default_rng(5)
+    v = [(0, [2.0**40 + 1 / 64, 3.0, -(2.0**40)])] + [(k, [float(x) for x in r.integers(-9, 9, 3)]) for k in range(1, 2000)]
+    rows = knn_join(spark, spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(4), slice_rows=300, group_queries=50).where("query_id = 0").collect()
+    ints = [(k, [int(np.floor(64 * x)) for x in e]) for k, e in v]
+    best = sorted((-sum(a * b for a, b in zip(ints[0][1], e, strict=True)), k) for k, e in ints[1:])[:20]
+    assert sorted((x["rank"], x["vec_id"], x["score"]) for x in rows) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+
+
 def test_top_k_of_large_numbers(spark):
     v = [(k, [float(k % 7 - 3) * 2**22, float(k)]) for k in range(40)]
     rows = knn_join(spark, spark.createDataFrame(v, "vec_id long, embedding array<double>"), k=3).collect()
