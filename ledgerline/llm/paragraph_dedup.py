@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Workspace, trimmed
 from ledgerline.llm.components import components
-from ledgerline.llm.minhash import class_links
+from ledgerline.llm.minhash import class_links, share_buckets
 from ledgerline.llm.suffix_dedup import grouped, packed, starts_of, unpacked
 
 ENDS = frozenset(b".!?")
@@ -208,18 +208,13 @@ def keepers(work: Workspace, units: DataFrame, payload: DataFrame, percent: int,
     banded = offered.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(meeting), "bucket long, rep long, n long")
     banded = work.write(banded, "banded")
     work.release()
-    whole = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("whole")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.min("rep").alias("least"), whole)
-    shared = shared.groupBy("m", "n", "least", "whole").agg(F.min("bucket").alias("bucket"))
-    blocks = F.greatest(F.ceil(F.col("m") / block_classes), F.ceil(F.col("n") / block_shingles)).cast("int")
-    shared = work.write(shared.select("bucket", blocks.alias("blocks")), "shared")
-    members = work.write(banded.join(shared.hint("merge"), "bucket").select("bucket", "rep", "blocks"), "members")
-    work.drop(banded, shared)
+    shared, members = share_buckets(work, banded, block_classes, block_shingles)
+    work.drop(banded)
     # the text of each class that meets another: its first paragraph's
     asked = members.select("rep").distinct().hint("merge").join(classes, "rep").select(F.col("first.seq").alias("seq"))
     texts = work.write(payload.select("seq", "rep", "sig", "text").join(asked.hint("merge"), "seq", "left_semi").select("rep", "sig", "text"), "texts")
-    edges = class_links(work, members, texts, percent, width, bands * rows, plain=True)
-    work.drop(members, texts)
+    edges = class_links(work, shared, members, texts, percent, width, bands * rows, block_classes, plain=True)
+    work.drop(shared, members, texts)
     linked = components(work, edges)
 
     clustered = classes.join(linked.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").where("times > 1 OR root IS NOT NULL")
@@ -233,7 +228,7 @@ def keepers(work: Workspace, units: DataFrame, payload: DataFrame, percent: int,
 
 def paragraph_duplicates(
     spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 8, bands: int = 6, rows: int = 2,
-    block_classes: int = 512, block_shingles: int = 1 << 20, part_classes: int = 400_000, whole: bool = False, doc_id: str = "doc_id", text: str = "text",
+    block_classes: int = 128, block_shingles: int = 1 << 20, part_classes: int = 400_000, whole: bool = False, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """For each document: doc_id, n_paragraphs, n_removed, and the documents that keep what is removed (keepers)."""
     work = Workspace(spark, "paragraphs")

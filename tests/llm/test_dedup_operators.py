@@ -59,7 +59,7 @@ def near_texts():
                     w = w[: r.randint(1, len(w))]
                 texts.append((n, r.choice([" ", "\n", "\t "]).join(w)))
                 n += 1
-    texts += [(n, "One two"), (n + 1, "ONE  two"), (n + 2, "a b c d"), (n + 3, None), (n + 4, ""), (n + 5, " \n "), (n + 6, " ".join(say(40_000))), (None, "one two"), (0, texts[0][1]), (n + 7, "É one"), (n + 8, "é one"), (n + 9, "x y z")]
+    texts += [(n, "One two"), (n + 1, "ONE  two"), (n + 2, "a b c d"), (n + 3, None), (n + 4, ""), (n + 5, " \n "), (n + 6, " ".join(say(40_000))), (None, "one two"), (0, texts[0][1]), (0, texts[40][1]), (9, texts[30][1] + " end"), (n + 7, "É one"), (n + 8, "é one"), (n + 9, "x y z")]
     return texts
 
 
@@ -77,7 +77,7 @@ def test_near_duplicates_against_brute_force(spark):
         if a is not None and b is not None and x and y and 100 * len(x & y) >= 85 * len(x | y):
             u.join(a, b)
     frame = spark.createDataFrame(clash(texts), CLASH).repartition(3)
-    for block in (512, 4):  # one unit for each bucket, and many
+    for block in (512, 4, 2):  # one unit for each bucket, and many
         rows = near_duplicates(spark, frame, block_classes=block).collect()
         assert len(rows) == len(texts)
         for r in rows:
@@ -279,6 +279,33 @@ def test_all_paragraphs_as_the_query_takes_them(spark, tmp_path):
     assert got == want and sum(x[1] for x in want.values()) > 100
 
 
+def test_keep_first_against_brute_force(spark):
+    from ledgerline.llm.minhash import keep_first
+
+    texts = near_texts()
+    order = sorted({x for x in texts if x[0] is not None}, key=lambda x: (x[0], str(x[1])))
+    sets = [shingles(t) for _, t in order]
+    u = Union()
+    for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            u.join(i, j)
+    groups = {}
+    for k in range(len(order)):
+        groups.setdefault(u.find(k), set()).add(order[k])
+    frame = spark.createDataFrame(clash(texts), CLASH).repartition(3)
+    for block in (128, 3):
+        out = keep_first(spark, frame, block_classes=block)
+        assert out.columns == frame.columns
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        left = list(got)
+        for g in groups.values():  # one of each group, and of the smallest doc_id
+            [one] = [x for x in got if x in g]
+            assert one[0] == min(d for d, _ in g)
+            left.remove(one)
+        assert left == [x for x in texts if x[0] is None]
+    assert keep_first(spark, frame.limit(0)).count() == 0
+
+
 def test_pipeline_near_dedup_takes_pairs_from_four_fifths(spark):
     import corpus_pipeline
 
