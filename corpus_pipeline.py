@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, pii
 from ledgerline.llm.common import Workspace, read_table
-from ledgerline.llm.minhash import near_duplicates
+from ledgerline.llm.minhash import keep_first
 from ledgerline.llm.packing import pack
 from ledgerline.llm.toxicity import keep_clean
 
@@ -22,15 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that of the smallest doc_id; rows that repeat a doc_id count once.
-
-    Near copies are pairs at Jaccard 0.8 or more; 30 bands of 5 miss one at 0.8 with a chance of 7e-6. Documents with a
-    null doc_id are linked with nothing and stay.
-    """
-    found = near_duplicates(spark, docs, percent=80, bands=30, rows=5)
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id IS NULL"))
+    """One row of each component of texts, that of the smallest doc_id; near copies are pairs at Jaccard 0.8 or more."""
+    return keep_first(spark, docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
