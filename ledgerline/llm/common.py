@@ -16,7 +16,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one if Spark is local.
+
+    On a cluster a folder of the driver's machine would take each executor's work tables to another disk, so that is refused.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -24,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="ledgerline-")
     sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -67,12 +72,6 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
-def table_bytes(df: DataFrame, col: str) -> tuple[int, int]:
-    """Rows and UTF-8 bytes of a column, for the size check before a broadcast."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(col))), F.lit(0)).alias("b")).first()
-    return int(row["n"]), int(row["b"])
-
-
 def by_bytes(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges of texts that hold about limit characters each, so that numpy work stays within memory."""
     start, held = 0, 0

@@ -11,7 +11,9 @@ the answer. A passage leaks an item if it holds 0.8 of the item's 5-word shingle
 answer's. Parts with fewer words than a shingle count as one shingle of all their words.
 
 The index is broadcast. Its size is checked: items beyond `shard_bytes` are divided into shards by a hash, each with an
-index of its own (and with its own word statistics), and the texts are read once for each shard. Nothing is shuffled.
+index of its own, and the texts are read once for every `shards_per_read` shards. What scores rest on (the number of
+items, the items that hold a word, mean and largest length) is counted once over all items and handed to each shard, so
+results do not depend on the shards. Texts are not shuffled.
 
 Defined results: null and empty texts leak nothing; items without id or words are left out; rows that repeat an item
 count once; each row of a repeated document gives its own results. Documents with a null id are checked and keep it.
@@ -25,12 +27,13 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table_bytes, trimmed
+from ledgerline.llm.common import Workspace, trimmed
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*\s+")
@@ -72,23 +75,20 @@ class Index:
     add up without walking the lists.
     """
 
-    def __init__(self, items: list[tuple[int, str]], width: int, block: int = 4):
-        items = sorted({i: t for i, t in sorted(items, reverse=True)}.items())
-        split = [(i, t, words_of(t)) for i, t in items]
-        split = [x for x in split if x[2]]
+    def __init__(self, items: list[tuple[int, str]], width: int, facts: tuple[int, float, int], df: dict[str, int], block: int = 4):
+        """facts: number, mean length and largest length of all items; df: how many of them hold each word of these."""
+        split = [(i, t, words_of(t)) for i, t in sorted(items)]
         self.ids = [i for i, _, _ in split]
-        self.longest = max((len(w) for _, _, w in split), default=0)
+        n_items, mean, self.longest = facts
         self.parts = []
         for _, t, w in split:
             q, a = question_and_answer(t)
             self.parts.append((shingles(w, width), shingles(words_of(q), width), shingles(words_of(a), width)))
         tfs = [Counter(w) for _, _, w in split]
-        df = Counter(x for tf in tfs for x in tf)
-        mean = sum(len(w) for _, _, w in split) / max(1, len(split))
         lists: dict[str, tuple[list[int], list[float]]] = {}
         for k, tf in enumerate(tfs):
             norm = K1 * (1 - B + B * len(split[k][2]) / mean)
-            raw = {x: math.log(1 + (len(tfs) - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + norm) for x, n in tf.items()}
+            raw = {x: math.log(1 + (n_items - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + norm) for x, n in tf.items()}
             total = sum(raw.values())
             for x, w in raw.items():
                 at = lists.setdefault(x, ([], []))
@@ -139,7 +139,7 @@ class Index:
             if cur[0][0] == pivot:
                 while p + 1 < len(cur) and cur[p + 1][0] == pivot:
                     p += 1
-                score = sum(c[3][c[1]] for c in cur[: p + 1])
+                score = math.fsum(c[3][c[1]] for c in cur[: p + 1])  # the same in any order
                 if score >= least:
                     out.append((pivot, score))
                 to = pivot + 1
@@ -169,64 +169,94 @@ class Index:
         return out
 
 
+def word_lists(batches: Iterator) -> Iterator:
+    """The words of each item."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([words_of(t) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], names=["item_id", "text", "words"])
+
+
 def indexes(spark: SparkSession, items: DataFrame, width: int, shard_bytes: int, item_id: str, text: str) -> Iterator:
     """A broadcast index for each shard of the items; one shard unless the items are larger than the bound."""
     some = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    _, size = table_bytes(some, "text")
-    n = max(1, -(-size // shard_bytes))
+    some = some.groupBy("item_id").agg(F.min("text").alias("text")).mapInArrow(word_lists, "item_id long, text string, words array<string>").where(F.size("words") > 0)
+    some = Workspace(spark, "benchmark").write(some, "items")
+    r = some.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"), F.max(F.size("words")).alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not r["n"]:
+        return
+    facts, n = (r["n"], float(r["mean"]), int(r["longest"])), max(1, -(-r["bytes"] // shard_bytes))
+    held = some.select(F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("shard"), F.explode(F.array_distinct("words")).alias("word"))
+    # each word of a shard with the number of all items that hold it, however many shards they are in
+    df = held.groupBy("shard", "word").count()
+    df = df.join(df.groupBy("word").agg(F.sum("count").alias("df")), "word").select("shard", "word", "df")
+    df = Workspace(spark, "benchmark-words").write(df, "df") if n > 1 else df
     for k in range(n):
-        rows = some.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], width))
+        rows = some.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select("item_id", "text").collect()
+        words = {x["word"]: x["df"] for x in df.where(F.col("shard") == k).select("word", "df").collect()}
+        yield spark.sparkContext.broadcast(Index([(x["item_id"], x["text"]) for x in rows], width, facts, words))
+
 
+def by_read(found: Iterator, shards_per_read: int) -> Iterator[list]:
+    """The indexes that one read of the texts searches."""
+    while some := list(islice(found, shards_per_read)):
+        yield some
 
-def finder(index, least: float, share: float):
+
+def finder(indexes: list, least: float, share: float):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ix = index.value
+        found = [i.value for i in indexes]
         names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 rows = []
                 for doc, text in zip(batch.column(0).slice(a, 500).to_pylist(), batch.column(1).slice(a, 500).to_pylist(), strict=True):
-                    rows += [(doc, item, *x) for item, x in sorted(ix.leaks(text, least, share).items())]
+                    for ix in found:
+                        rows += [(doc, item, *x) for item, x in sorted(ix.leaks(text, least, share).items())]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(cols)], names=names)
 
     return run
 
 
-def cleaner(index, text: str, least: float, share: float):
+def cleaner(indexes: list, text: str, least: float, share: float):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ix = index.value
+        found = [i.value for i in indexes]
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield part.filter(pa.array([not ix.leaks(t, least, share) for t in part.column(text).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([not any(ix.leaks(t, least, share) for ix in found) for t in part.column(text).to_pylist()], pa.bool_()))
 
     return run
 
 
+LEAKS = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+
+
 def leaks(
     spark: SparkSession, docs: DataFrame, items: DataFrame, least_score: float = 0.4, share: float = 0.8, width: int = 5,
-    shard_bytes: int = 4 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    shard_bytes: int = 4 << 20, shards_per_read: int = 4, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap and answer_overlap of each leaked item in each document."""
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
-    for index in indexes(spark, items, width, shard_bytes, item_id, item_text):
-        part = some.mapInArrow(trimmed(finder(index, least_score, share)), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+    for found in by_read(indexes(spark, items, width, shard_bytes, item_id, item_text), shards_per_read):
+        part = some.mapInArrow(trimmed(finder(found, least_score, share)), LEAKS)
         out = part if out is None else out.union(part)
-    return out
+    return spark.createDataFrame([], LEAKS) if out is None else out
 
 
 def clean(
     spark: SparkSession, docs: DataFrame, items: DataFrame, least_score: float = 0.4, share: float = 0.8, width: int = 5,
-    shard_bytes: int = 4 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    shard_bytes: int = 4 << 20, shards_per_read: int = 4, text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """The rows of docs, with all their columns, that leak no item."""
-    for index in indexes(spark, items, width, shard_bytes, item_id, item_text):
-        docs = docs.mapInArrow(trimmed(cleaner(index, text, least_score, share)), docs.schema)
+    for found in by_read(indexes(spark, items, width, shard_bytes, item_id, item_text), shards_per_read):
+        docs = docs.mapInArrow(trimmed(cleaner(found, text, least_score, share)), docs.schema)
     return docs

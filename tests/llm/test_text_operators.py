@@ -339,11 +339,15 @@ def test_decontamination_against_brute_force(spark):
     frame = spark.createDataFrame(clash_rows(docs), CLASH)
     table = spark.createDataFrame([*items, items[0], (None, "x y z"), (900, None), (901, "")], "item_id long, text string")
     want = {(d, i) for d, t in docs for i in brute_leaks(t, items)}
-    for bound in (4 << 20, 8_000):  # one shard, and several
-        got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark, frame, table, shard_bytes=bound).collect()}
-        assert got == want and len(want) > 50
-    left = decontaminate.clean(spark, frame, table)
-    assert left.columns == frame.columns and left.count() == sum(not brute_leaks(t, items) for _, t in docs)
+    found = []
+    for bound, reads in ((4 << 20, 4), (8_000, 8), (8_000, 1), (1_000, 100)):  # one shard, and several, in one read or more
+        got = decontaminate.leaks(spark, frame, table, shard_bytes=bound, shards_per_read=reads).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(want) > 50
+        found.append(sorted(map(str, got)))
+    assert all(x == found[0] for x in found)  # scores included
+    for bound in (4 << 20, 3_000):
+        left = decontaminate.clean(spark, frame, table, shard_bytes=bound)
+        assert left.columns == frame.columns and left.count() == sum(not brute_leaks(t, items) for _, t in docs)
     assert decontaminate.leaks(spark, frame, table.limit(0)).count() == 0 and decontaminate.leaks(spark, frame.limit(0), table).count() == 0
 
 
@@ -351,7 +355,9 @@ def test_block_max_search_is_exhaustive():
     r = random.Random(8)
     vocabulary = [f"w{k}" for k in range(60)]
     items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 30)))) for k in range(300)]
-    ix = decontaminate.Index(items, 5)
+    split = [decontaminate.words_of(t) for _, t in items]
+    df = {w: sum(w in x for x in split) for w in vocabulary}
+    ix = decontaminate.Index(items, 5, (300, sum(map(len, split)) / 300, max(map(len, split))), df)
     for _ in range(200):
         words = set(r.sample(vocabulary, r.randint(1, 40)))
         want = {}
