@@ -414,3 +414,89 @@ def test_tool_call_chains(spark):
     rows = [(1, k, "assistant", calls((f"c{k}", "search", {"query": f"$c{k - 1}" if k else "go"}))) for k in range(n)]
     out = link(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r["turn"], r["depth"]) for r in out) == [(k, k) for k in range(n)]
+
+
+def test_tool_call_entries_and_canonical_json(spark):
+    entries = [
+        {"id": "a", "name": "search", "arguments": {"query": "x", "limit": 2}}, {"id": 5, "name": "fetch", "arguments": {"url": "u"}}, "junk",
+        {"id": {"q": 1}, "name": "x"}, None, {"name": "search", "arguments": {"z": [1, {"d": None, "c": True}], "b": 1.5}}, [1],
+    ]
+    contents = [{"z": 1, "a": {"y": None, "b": [2]}}, "4", 4, None, [], True, "é \" \\ \n"]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": entries}))] + [(1, k + 1, "tool", json.dumps({"tool_call_id": "a" if k else 5, "content": c})) for k, c in enumerate(contents)]
+    rows += [(1, 50, "tool", json.dumps({"tool_call_id": "a"})), (1, 51, "assistant", '{"tool_calls": []}'), (1, 52, "assistant", '{"a": 1, "a": 2}'), (1, 53, "tool", '{"tool_call_id": null, "content": 1}')]
+    out = {(r["turn"], r["call_no"]): r for r in link(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(out) == len(entries) + len(contents) + 4
+    for k, e in enumerate(entries):
+        r, good = out[0, k], k < 2
+        assert r["kind"] == "call" and r["valid"] is good and (r["errors"] == []) is good and r["linked"] is good
+        want = e if isinstance(e, dict) else {}
+        name_of = lambda x: x if x is None or isinstance(x, str) else str(x) if not isinstance(x, dict) else None
+        whole = {"arguments": want.get("arguments"), "id": name_of(want.get("id")), "name": want.get("name"), "result_turn": r["link_turn"], "role": "assistant", "turn": 0}
+        assert r["json"] == json.dumps(whole, sort_keys=True, separators=(",", ":"))
+    assert (out[0, 0]["link_turn"], out[0, 1]["link_turn"]) == (2, 1)
+    for k, c in enumerate([*contents]):
+        r = out[k + 1, None]
+        whole = {"call_turn": r["link_turn"], "content": c, "role": "tool", "tool_call_id": "a" if k else "5", "turn": k + 1}
+        assert r["json"] == json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert json.loads(out[50, None]["json"])["content"] is None
+    assert [out[k, None]["kind"] for k in (51, 52, 53)] == ["message"] * 3
+
+
+def brute_calls(rows):
+    """Link, depth and graph errors of each call and result, by loops over one conversation at a time."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        first, results, every = {}, {}, []
+        for _, turn, role, text in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
+            x = json.loads(text)
+            for k, c in enumerate(x.get("tool_calls", ())):
+                every.append((turn, k, c["id"], c["arguments"]))
+                first.setdefault(c["id"], (turn, k, c["arguments"]))
+            if role == "tool":
+                results.setdefault(x["tool_call_id"], []).append(turn)
+        needs = {i: {v[1:] for v in a.values() if v.startswith("$")} for i, (_, _, a) in first.items()}
+        depth = {}
+        while True:
+            ready = [i for i in first if i not in depth and all(n in depth for n in needs[i] if n in first)]
+            if not ready:
+                break
+            depth |= {i: 1 + max((depth[n] for n in needs[i] if n in first), default=-1) for i in ready}
+        taken = {i: min((t for t in ts if i in first and t >= first[i][0]), default=None) for i, ts in results.items()}
+        for turn, k, i, _ in every:
+            if first[i][:2] != (turn, k):
+                out[conv, turn, k] = (None, None, ["duplicate_id"])
+                continue
+            faults = sorted({"unknown_reference" if n not in first else "later_reference" for n in needs[i] if n not in first or first[n][0] > turn})
+            out[conv, turn, k] = (taken.get(i), depth.get(i), faults + ([] if i in depth else ["cycle"]))
+        for i, ts in results.items():
+            for t in ts:
+                out[conv, t, None] = (first[i][0] if taken[i] == t else None, None, [])
+    return out
+
+
+def test_tool_calls_of_generated_graphs_against_brute_force(spark):
+    r = random.Random(31)
+    rows = []
+    for conv in range(14):
+        ids, turn = [], 0
+        for _ in range(r.randint(1, 14)):
+            entries = []
+            for _ in range(r.randint(0, 6)):
+                i = f"c{r.randint(0, 60)}"
+                near = [*ids[-6:], *(e[0] for e in entries), i if r.random() < 0.1 else "nope" if r.random() < 0.1 else f"c{r.randint(0, 60)}"]
+                entries.append((i, "other", {f"p{k}": "$" + r.choice(near) if r.random() < 0.7 else "text" for k in range(r.randint(0, 3))}))
+            rows.append((conv, turn, "assistant", calls(*entries)))
+            ids += [e[0] for e in entries]
+            turn += 1
+            for i in r.sample(ids, min(len(ids), r.randint(0, 3))) + (["none"] if r.random() < 0.2 else []):
+                rows.append((conv, turn, "tool", result(i)))
+                turn += 1
+    chain = [(f"x{k}", "other", {"p": f"$x{k - 1}"} if k else {}) for k in range(70)]  # one message, a chain of 70 in mixed order
+    r.shuffle(chain)
+    rows += [(100, 0, "assistant", calls(*chain)), (100, 1, "assistant", calls(("y", "other", {"a": "$x69", "b": "$z"}), ("z", "other", {"a": "$y"}), ("w", "other", {"a": "$z"}), ("v", "other", {"a": "$v"})))]
+    want = brute_calls(rows)
+    out = link(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).where("kind != 'message'").collect()
+    got = {(x["conv_id"], x["turn"], x["call_no"]): (x["link_turn"], x["depth"], x["errors"]) for x in out}
+    assert got == want and len(out) == len(want)
+    found = [e for *_, errors in want.values() for e in errors]
+    assert {"cycle", "duplicate_id", "unknown_reference", "later_reference"} <= set(found) and max(d or 0 for _, d, _ in want.values()) == 69
