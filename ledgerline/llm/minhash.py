@@ -79,9 +79,21 @@ def unit_links(sigs, sets, percent: int, least_equal: int, roots=None) -> list[t
     root = np.arange(n) if roots is None else np.unique(roots, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(values), np.int8)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     found = []
+    if n * len(values) <= 4_000_000:  # all intersections at once
+        held = np.zeros((n, len(values)), np.float32)
+        held[np.repeat(np.arange(n), sizes), flat] = 1
+        both = held @ held.T
+        linked = np.triu(100 * both >= percent * (sizes[:, None] + sizes - both), 1) & (root[:, None] != root)
+        if sigs.shape[1]:
+            linked &= (sigs[:, None] == sigs).sum(2) >= least_equal
+        for i, j in np.argwhere(linked).tolist():
+            if root[i] != root[j]:
+                found.append((i, j))
+                root[root == root[j]] = root[i]
+        return found
+    mark = np.zeros(len(values), np.int8)
     for i in range(n):
         others = np.flatnonzero(root != root[i])
         others = others[others > i]
@@ -162,10 +174,11 @@ def class_links(
 ) -> DataFrame:
     """Links (u, v) that connect the classes of every bucket as all its pairs at the threshold do.
 
-    shared, members: as share_buckets gives them; texts: rep, sig, text (compressed unless plain) of each class at least.
+    shared, members: as share_buckets gives them; texts: rep, sig and compressed text of each class at least, or with
+    plain a written table of the members' texts as they are. Without minima nothing is checked on signatures.
     """
     asked = members.select("rep").distinct()
-    payload = work.write(texts.select("rep", "sig", "text").join(asked.hint("merge"), "rep", "left_semi"), "payload")
+    payload = texts if plain else work.write(texts.select("rep", "sig", "text").join(asked.hint("merge"), "rep", "left_semi"), "payload")
     s = percent / 100
     agree = s + (1 - s) / 256
     least_equal = max(0, int(n_minima * agree - 5 * (n_minima * agree * (1 - agree)) ** 0.5))

@@ -1,20 +1,24 @@
 """Operator 6: near-duplicate paragraphs by MinHash banding, exact verification and components.
 
-The paragraphs are sentences (runs of words up to a word that ends in . ! ? or to a line's end) of `least_words` words
-or more, so that a passage which stands in the midst of different texts still gives equal units. Fewer words than a
-shingle has are one shingle. With `whole`, lines are matched as wholes first, and those that are near copies of an
-earlier line go with all their sentences; the sentences of the lines that stay are matched then, so that what a sentence
-gives way to stands in a line that stays. Only sentences are counted. Paragraphs with equal shingle sets are one class.
-Few minima in short bands make recall high (6 bands of 2: a pair at Jaccard 0.8 is missed with a chance of 0.2 %, one at
-0.9 with 5e-5); band hashes travel as packed arrays, and only classes that share a band's hash go on as rows. Sets too
-small to reach the threshold with any other set (below 4 shingles at 0.8) have equal ones only, which are one class
-already, so they have no bands. Those that meet are verified on full sets, in bounded units, and clustered by
-components. Of every cluster the first paragraph (smallest doc_id, then order in the text) stays, the others are
-removals.
-
-Defined results: null and empty texts and those below `least_words` have no paragraphs. Rows without a doc_id take no
-part and are not returned. Rows that repeat a doc_id count as one document, and their paragraphs as its own. Other
-columns are ignored. An empty table gives no rows.
+Paragraphs are taken at two levels. Lines are matched as wholes first (`whole`), and those that are near copies of an
+earlier line go with all their sentences. Then the sentences (runs of words up to a word that ends in . ! ? or to a
+line's end) of the lines that stay are matched, so that a passage in the midst of different lines is found as well, and
+what a sentence gives way to stands in a line that stays. Only sentences are counted. Units may have any length
+(`least_words` can leave short sentences out); fewer words than a shingle has are one shingle.
+
+Units with equal shingle sets (128 bits of hash) are one class. Few minima in short bands make recall high (6 bands of 2:
+a pair at Jaccard 0.8 is missed with a chance of 0.2 %, one at 0.9 with 5e-5); band hashes travel as packed arrays, and
+only classes that share a band's hash go on as rows. Sets too small to reach the threshold with any other set (below 4
+shingles at 0.8) have equal ones only, which are one class already, so they have no bands. Those that meet are verified
+on full sets, in bounded units, and clustered by components. Of every cluster the first unit (smallest doc_id, then
+order in the text) stays, the others are removals.
+
+Texts are kept once, as compressed chunks of about `chunk_chars` characters with the places of their units, and a unit's
+words are cut out of its chunk when it is verified. A line is held by one task at a time, whole.
+
+Defined results: null, empty and blank texts have no units. Rows without a doc_id take no part and are not returned.
+Rows that repeat a doc_id count as one document, and their units as its own. Other columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,114 +34,168 @@ from ledgerline.llm.components import components
 from ledgerline.llm.minhash import class_links, share_buckets
 from ledgerline.llm.suffix_dedup import grouped, packed, starts_of, unpacked
 
-ENDS = frozenset(b".!?")
+CUT = "doc_id long, seq long, rep long, rep2 long, n long, buckets binary, line long, chunk long, blob binary, places binary"
+#: A unit's number is its chunk's number, shifted by so many bits, plus its place in the chunk.
+UNIT_BITS = 22
 
 
-def sentences(words: list[bytes], least_words: int) -> list[list[bytes]]:
-    out, a = [], 0
-    for b, w in enumerate(words):
-        if w[-1] in ENDS:
-            if b + 1 - a >= least_words:
-                out.append(words[a : b + 1])
-            a = b + 1
-    if len(words) - a >= max(1, least_words):
-        out.append(words[a:])
-    return out
-
-
-def lines(text: str | None) -> list[list[bytes]]:
+def word_lines(text: str | None) -> list[list[bytes]]:
     return [line.encode("utf-8", "surrogatepass").lower().split() for line in (text or "").split("\n")]
 
 
-def paragraphs(text: str | None, least_words: int) -> list[list[bytes]]:
-    return [p for words in lines(text) for p in sentences(words, least_words)]
-
+class Cut:
+    """The units of a chunk of lines as ranges of its words: lines first where whole, then sentences, each in order."""
+
+    def __init__(self, lines: list[list[bytes]], docs: np.ndarray, least_words: int, whole: bool):
+        counts = np.array([len(x) for x in lines], np.int64)
+        some = np.flatnonzero(counts)
+        self.words = [w for x in lines for w in x]
+        self.blob = b" ".join(self.words)
+        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.ends = np.cumsum(sizes + 1) - 1  # of each word in the blob
+        line_stop = np.cumsum(counts[some])
+        line_start = line_stop - counts[some]
+        stops = np.zeros(len(self.words), bool)
+        if len(stops):
+            stops[np.isin(np.frombuffer(self.blob, np.uint8)[self.ends - 1], np.frombuffer(b".!?", np.uint8))] = True
+            stops[line_stop - 1] = True
+        b = np.flatnonzero(stops) + 1
+        a = np.concatenate([[0], b[:-1]]).astype(np.int64)
+        keep = b - a >= max(1, least_words)
+        a, b = a[keep], b[keep]
+        of = np.searchsorted(line_stop, a, "right")  # the line of each sentence
+        held = np.unique(of) if whole else np.zeros(0, np.int64)
+        self.start, self.stop = np.concatenate([line_start[held], a]), np.concatenate([line_stop[held], b])
+        self.doc = docs[some][np.concatenate([held, of])]
+        self.head = np.concatenate([np.arange(len(held)), np.searchsorted(held, of) if whole else np.arange(len(of))])
+        self.n_lines = len(held)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def places(self) -> np.ndarray:
+        """Start and end of each unit in the blob."""
+        starts = np.concatenate([[0], self.ends + 1])
+        return np.stack([starts[self.start], self.ends[self.stop - 1]], 1).astype(np.int64) if len(self) else np.zeros((0, 2), np.int64)
+
+    def sets(self, cache, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingle hashes of all units, and where each unit's begin."""
+        import xxhash
 
-def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, whole: bool = False):
-    """A row for each paragraph (after one for its line where whole), and one without a key for each document."""
+        from ledgerline.llm.shingles import PLACES, mix
+
+        w = np.fromiter(map(cache.__getitem__, self.words), np.uint64, len(self.words))
+        n = np.maximum(0, self.stop - self.start - width + 1)
+        h = np.zeros(0, np.uint64)
+        if len(w) >= width:
+            h = w[: len(w) - width + 1] * PLACES[0]
+            for j in range(1, width):
+                part = w[j : len(w) - width + 1 + j]
+                h += (part ^ (part >> np.uint64(31))) * PLACES[j]
+            h = mix(h)
+        of = np.repeat(np.arange(len(self)), n)
+        at = np.repeat(self.start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        short = np.flatnonzero(n == 0)
+        one = [xxhash.xxh3_64_intdigest(b" ".join(self.words[a:b]), seed=b - a) for a, b in zip(self.start[short].tolist(), self.stop[short].tolist(), strict=True)]
+        h, of = np.concatenate([h[at], np.array(one, np.uint64)]), np.concatenate([of, short])
+        o = np.lexsort((h, of))
+        h, of = h[o], of[o]
+        first = starts_of(of, h)
+        h, of = h[first], of[first]
+        return h, starts_of(of)
+
+
+def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, whole: bool, chunk_chars: int):
+    """A row for each unit, one for the text of each chunk, and one without a key for each document."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
+        import zstandard
         from pyspark import TaskContext
 
-        from ledgerline.llm.shingles import PLACES, Minima, WordHashes, mix
+        from ledgerline.llm.shingles import Minima, WordHashes, mix
 
-        minima, cache = Minima(bands, rows), WordHashes()
-        seq = TaskContext.get().partitionId() << 40
+        minima, cache, press = Minima(bands, rows), WordHashes(), zstandard.ZstdCompressor(1)
+        schema = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.binary()) for f in CUT.split(", ")])
+        next_chunk = TaskContext.get().partitionId() << 20
         bits = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+        def rows_of(count: int, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
+
+        def solved(lines: list[list[bytes]], docs: list[int]):
+            nonlocal next_chunk
+            if len(cache) > 400_000:
+                cache.clear()
+            cut = Cut(lines, np.array(docs, np.int64), least_words, whole)
+            n = len(cut)
+            if not n:
+                return
+            h, starts = cut.sets(cache, width)
+            sizes = np.diff(np.append(starts, len(h)))
+            rep, rep2 = (mix(np.add.reduceat(mix(h ^ np.uint64(salt)), starts)).view(np.int64) for salt in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3))
+            banded = 100 * sizes >= percent * (sizes + 1)
+            buckets: list = [None] * n
+            some = np.flatnonzero(banded)
+            if len(some):
+                x = (h >> np.uint64(32)).astype(np.uint32)
+                sig = np.stack([np.minimum.reduceat(x * a_ + b_, starts)[some] for a_, b_ in zip(minima.a, minima.b, strict=True)], 1)
+                wide = sig.reshape(len(some), bands, rows).astype(np.uint64)
+                b = np.zeros((len(some), bands), np.uint64) + bits
+                for r in range(rows):
+                    b = mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + wide[:, :, r])
+                # 48 bits of each band's hash: chance collisions cost a check, no result
+                six = (b >> np.uint64(16)).view(np.uint8).reshape(len(some), bands, 8)[:, :, :6]
+                for k, r in zip(some.tolist(), six, strict=True):
+                    buckets[k] = r.tobytes()
+            base = next_chunk << UNIT_BITS
+            yield rows_of(n, doc_id=cut.doc, seq=base + np.arange(n), rep=rep, rep2=rep2, n=sizes, buckets=buckets, line=base + cut.head)
+            blob, places = press.compress(cut.blob), cut.places()
+            for k in range(0, n, 1 << UNIT_BITS):
+                yield rows_of(1, chunk=[next_chunk], blob=[blob], places=[press.compress(places[k : k + (1 << UNIT_BITS)].tobytes())])
+                next_chunk += 1
+
+        lines: list[list[bytes]] = []
+        docs: list[int] = []
+        size = 0
         for batch in batches:
             for a in range(0, batch.num_rows, 300):
-                docs, parts, heads = [], [], []  # heads: the place of a paragraph's line, its own for a line
-                ids = batch.column(0).slice(a, 300).to_pylist()
-                for doc, text in zip(ids, batch.column(1).slice(a, 300).to_pylist(), strict=True):
-                    before = len(parts)
-                    for words in lines(text):
-                        more = sentences(words, least_words)
-                        if whole and more:
-                            more = [words, *more]
-                        heads += [len(parts)] * len(more)
-                        parts += more
-                    docs += [doc] * (len(parts) - before)
-                if len(cache) > 400_000:
-                    cache.clear()
-                n = len(parts)
-                keys = sigs = buckets = banded = []
-                sizes = np.zeros(0, np.int64)
-                if n:
-                    lengths = np.array([len(p) for p in parts])
-                    w = np.fromiter((cache[x] for p in parts for x in p), np.uint64, lengths.sum())
-                    ends = np.cumsum(lengths)
-                    h, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                    if len(w) >= width:
-                        h = w[: len(w) - width + 1] * PLACES[0]
-                        for j in range(1, width):
-                            part = w[j : len(w) - width + 1 + j]
-                            h += (part ^ (part >> np.uint64(31))) * PLACES[j]
-                        h = mix(h)
-                        of = np.repeat(np.arange(n), lengths)[: len(h)]
-                        place = np.arange(len(h)) - (ends - lengths)[of]
-                        inside = place + width <= lengths[of]
-                        h, of = h[inside], of[inside]
-                    short = np.flatnonzero(lengths < width)
-                    one = [xxhash.xxh3_64_intdigest(b" ".join(parts[k]), seed=len(parts[k])) for k in short.tolist()]
-                    h, of = np.concatenate([h, np.array(one, np.uint64)]), np.concatenate([of, short])
-                    o = np.lexsort((h, of))
-                    h, of = h[o], of[o]
-                    first = starts_of(of, h)
-                    h, of = h[first], of[first]
-                    starts = starts_of(of)
-                    sizes = np.diff(np.append(starts, len(h)))
-                    keys = mix(np.add.reduceat(mix(h ^ np.uint64(0xA0761D6478BD642F)), starts)).view(np.int64)
-                    x = (h >> np.uint64(32)).astype(np.uint32)
-                    sig = np.stack([np.minimum.reduceat(x * a_ + b_, starts) for a_, b_ in zip(minima.a, minima.b, strict=True)], 1)
-                    low = sig.astype(np.uint8)
-                    banded = (100 * sizes >= percent * (sizes + 1)).tolist()
-                    sigs = [r.tobytes() if k else None for r, k in zip(low, banded, strict=True)]
-                    wide = sig.reshape(n, bands, rows).astype(np.uint64)
-                    b = np.zeros((n, bands), np.uint64) + bits
-                    for r in range(rows):
-                        b = mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + wide[:, :, r])
-                    # 48 bits of each band's hash: chance collisions cost a check, no result
-                    six = (b >> np.uint64(16)).view(np.uint8).reshape(n, bands, 8)[:, :, :6]
-                    buckets = [r.tobytes() if k else None for r, k in zip(six, banded, strict=True)]
-                m = len(ids)
-                total = n + m
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*docs, *ids], pa.int64()), pa.array(range(seq, seq + total), pa.int64()),
-                        pa.array([*(keys.tolist() if n else []), *[None] * m], pa.int64()), pa.array([*sizes.tolist(), *[0] * m], pa.int64()),
-                        pa.array([*sigs, *[None] * m], pa.binary()), pa.array([*buckets, *[None] * m], pa.binary()),
-                        pa.array([*(b" ".join(p) if k else None for p, k in zip(parts, banded, strict=True)), *[None] * m], pa.binary()),
-                        pa.array([*(seq + k for k in heads), *[None] * m], pa.int64()),
-                    ],
-                    names=["doc_id", "seq", "rep", "n", "sig", "buckets", "text", "line"],
-                )
-                seq += total
+                ids = batch.column(0).slice(a, 300)
+                yield rows_of(len(ids), doc_id=ids)
+                for doc, text in zip(ids.to_pylist(), batch.column(1).slice(a, 300).to_pylist(), strict=True):
+                    whole_text = word_lines(text)
+                    for k in range(0, len(whole_text), 1000):
+                        more = whole_text[k : k + 1000]
+                        lines += more
+                        docs += [doc] * len(more)
+                        size += sum(len(w) + 1 for line in more for w in line)
+                        if size >= chunk_chars:
+                            yield from solved(lines, docs)
+                            lines, docs, size = [], [], 0
+        yield from solved(lines, docs)
 
     return run
 
 
+def showing(batches: Iterator) -> Iterator:
+    """The words of the units that are asked for, cut out of their chunks: rep (the unit's number) and text."""
+    import pyarrow as pa
+    import zstandard
+
+    unpress = zstandard.ZstdDecompressor()
+    for _, rows in grouped(batches, ["chunk", "rep", "blob", "places"]):
+        asked = [r[0] for r in rows if r[0] is not None]
+        text = next((r for r in rows if r[0] is None), None)
+        if not asked or text is None:
+            continue
+        blob = unpress.decompress(text[1])
+        places = np.frombuffer(unpress.decompress(text[2]), np.int64).reshape(-1, 2)
+        for k in range(0, len(asked), 5000):
+            some = asked[k : k + 5000]
+            at = places[np.array(some, np.int64) & ((1 << UNIT_BITS) - 1)].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blob[a:b] for a, b in at], pa.binary())], names=["rep", "text"])
+
+
 def offering(bands: int, parts: int):
     """Band hashes of a task's classes, packed by part."""
 
@@ -193,68 +251,75 @@ def meeting(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(b[keep].view(np.int64)), pa.array(rep[keep]), pa.array(n[keep])], names=["bucket", "rep", "n"])
 
 
-def keepers(work: Workspace, units: DataFrame, payload: DataFrame, percent: int, width: int, bands: int, rows: int, block_classes: int, block_shingles: int, part_classes: int) -> DataFrame:
-    """rep and keep (doc_id and seq of the first unit of its cluster) of each class that has a duplicate.
+def keepers(work: Workspace, units: DataFrame, banded_units: DataFrame, chunks: DataFrame, percent: int, width: int, bands: int, rows: int, block_classes: int, block_shingles: int, part_classes: int) -> DataFrame:
+    """rep, rep2 and keep (doc_id and seq of the first unit of its cluster) of each class that has a duplicate.
 
-    units: doc_id, seq, rep; payload: seq, rep, n, sig, buckets, text of the same units at least, as others add nothing.
+    units: doc_id, seq, rep, rep2; banded_units: rep, n, buckets of the same units at least, as others meet no class of
+    these; chunks: chunk, blob, places.
     """
-    # one row for each class: the first paragraph, which is also the one to stay of equal ones
+    # one row for each class: the first unit, whose number stands for the class and which is the one to stay of equal ones
     place = F.struct("doc_id", "seq")
-    classes = work.write(units.groupBy("rep").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")), "classes")
+    classes = work.write(units.groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")), "classes")
     work.release()
-    payload = payload.where("buckets IS NOT NULL")
-    parts = max(32, -(-payload.count() * bands // (part_classes * 8)))
-    offered = payload.select("rep", "n", "buckets").mapInArrow(trimmed(offering(bands, parts)), "part long, blob binary")
+    offers = banded_units.where("buckets IS NOT NULL").select("rep", "n", "buckets")
+    parts = max(32, -(-offers.count() * bands // (part_classes * 8)))
+    offered = offers.mapInArrow(trimmed(offering(bands, parts)), "part long, blob binary")
     banded = offered.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(meeting), "bucket long, rep long, n long")
     banded = work.write(banded, "banded")
     work.release()
-    shared, members = share_buckets(work, banded, block_classes, block_shingles)
+    numbered = work.write(banded.join(classes.select("rep", F.col("first.seq").alias("node")).hint("merge"), "rep").select("bucket", F.col("node").alias("rep"), "n"), "numbered")
     work.drop(banded)
-    # the text of each class that meets another: its first paragraph's
-    asked = members.select("rep").distinct().hint("merge").join(classes, "rep").select(F.col("first.seq").alias("seq"))
-    texts = work.write(payload.select("seq", "rep", "sig", "text").join(asked.hint("merge"), "seq", "left_semi").select("rep", "sig", "text"), "texts")
-    edges = class_links(work, shared, members, texts, percent, width, bands * rows, block_classes, plain=True)
+    shared, members = share_buckets(work, numbered, block_classes, block_shingles)
+    work.drop(numbered)
+    asked = members.select("rep").distinct().select(F.shiftright("rep", UNIT_BITS).alias("chunk"), "rep", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("places"))
+    both = asked.union(chunks.select("chunk", F.lit(None).cast("long"), "blob", "places"))
+    texts = both.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(trimmed(showing), "rep long, text binary")
+    texts = work.write(texts.withColumn("sig", F.lit(b"")), "texts")
+    work.release()
+    edges = class_links(work, shared, members, texts, percent, width, 0, block_classes, plain=True)
     work.drop(shared, members, texts)
+    work.release()
     linked = components(work, edges)
 
-    clustered = classes.join(linked.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").where("times > 1 OR root IS NOT NULL")
-    clustered = work.write(clustered.select("rep", "first", F.coalesce("root", "rep").alias("root")), "clustered")
+    clustered = classes.withColumn("node", F.col("first.seq")).join(linked.hint("merge"), "node", "left").where("times > 1 OR root IS NOT NULL")
+    clustered = work.write(clustered.select("rep", "rep2", "first", F.coalesce("root", "node").alias("root")), "clustered")
     work.drop(classes)
     keep = work.write(clustered.groupBy("root").agg(F.min("first").alias("keep")), "kept")
-    table = work.write(clustered.join(keep, "root").select("rep", "keep"), "keepers")
+    table = work.write(clustered.join(keep, "root").select("rep", "rep2", "keep"), "keepers")
     work.drop(clustered, keep)
     return table
 
 
 def paragraph_duplicates(
-    spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 8, bands: int = 6, rows: int = 2,
-    block_classes: int = 128, block_shingles: int = 1 << 20, part_classes: int = 400_000, whole: bool = False, doc_id: str = "doc_id", text: str = "text",
+    spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 1, bands: int = 6, rows: int = 2,
+    block_classes: int = 128, block_shingles: int = 1 << 20, part_classes: int = 400_000, whole: bool = True, chunk_chars: int = 1 << 21,
+    doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """For each document: doc_id, n_paragraphs, n_removed, and the documents that keep what is removed (keepers)."""
     work = Workspace(spark, "paragraphs")
     options = percent, width, bands, rows, block_classes, block_shingles, part_classes
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    made = some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole)), "doc_id long, seq long, rep long, n long, sig binary, buckets binary, text binary, line long")
-    cut = work.write(made, "paragraphs")
-    units, lost = cut.where("rep IS NOT NULL"), None
+    cut = work.write(some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole, chunk_chars)), CUT), "paragraphs")
+    chunks = cut.where("blob IS NOT NULL").select("chunk", "blob", "places")
+    units, key, lost = cut.where("rep IS NOT NULL"), ["rep", "rep2"], None
+    sentences = units.where("seq != line") if whole else units
     if whole:
         heads = units.where("seq = line")
-        table = keepers(work, heads, heads, *options)
-        lost = heads.select("seq", "rep").join(table.hint("merge"), "rep").where("keep.seq != seq").select(F.col("seq").alias("line"), F.col("keep.doc_id").alias("keeper"))
+        table = keepers(work, heads, heads, chunks, *options)
+        lost = heads.select("seq", *key).join(table.hint("merge"), key).where("keep.seq != seq").select(F.col("seq").alias("line"), F.col("keep.doc_id").alias("keeper"))
         lost = work.write(lost, "lost")
         work.drop(table)
         work.release()
-        payload = units.where("seq != line")
-        units = work.write(payload.select("doc_id", "seq", "rep", "line").join(lost.select("line").hint("merge"), "line", "left_anti").drop("line"), "staying")
-    else:
-        payload = units
-    table = keepers(work, units, payload, *options)
-    placed = units.select("doc_id", "seq", "rep").join(table.hint("merge"), "rep", "left")
+        units = work.write(sentences.select("doc_id", "seq", *key, "line").join(lost.select("line").hint("merge"), "line", "left_anti").drop("line"), "staying")
+        work.release()
+    table = keepers(work, units, sentences, chunks, *options)
+    work.release()
+    placed = units.select("doc_id", "seq", *key).join(table.hint("merge"), key, "left")
     gone = F.col("keep").isNotNull() & (F.col("keep.seq") != F.col("seq"))
     placed = placed.select("doc_id", F.lit(1).alias("one"), F.when(gone, F.col("keep.doc_id")).alias("keeper"))
     if lost is not None:
-        placed = placed.union(payload.select("doc_id", "line").join(lost.hint("merge"), "line").select("doc_id", F.lit(1), "keeper"))
-    placed = placed.union(cut.where("rep IS NULL").select("doc_id", F.lit(0), F.lit(None).cast("long")))
+        placed = placed.union(sentences.select("doc_id", "line").join(lost.hint("merge"), "line").select("doc_id", F.lit(1), "keeper"))
+    placed = placed.union(cut.where("rep IS NULL AND doc_id IS NOT NULL").select("doc_id", F.lit(0), F.lit(None).cast("long")))
     return placed.groupBy("doc_id").agg(
         F.sum(F.col("one").cast("long")).alias("n_paragraphs"), F.count("keeper").alias("n_removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"),
     )

@@ -15,7 +15,7 @@ from ledgerline.llm.common import Workspace  # noqa: E402
 from ledgerline.llm.components import components  # noqa: E402
 from ledgerline.llm.knn import knn_join  # noqa: E402
 from ledgerline.llm.minhash import near_duplicates, unit_links  # noqa: E402
-from ledgerline.llm.paragraph_dedup import paragraph_duplicates, paragraphs  # noqa: E402
+from ledgerline.llm.paragraph_dedup import paragraph_duplicates  # noqa: E402
 from ledgerline.llm.queries import QUERIES  # noqa: E402
 from ledgerline.llm.shingles import Shingler, overlap  # noqa: E402
 from ledgerline.llm.suffix_dedup import equal_strings, remove_repeats, slide  # noqa: E402
@@ -210,7 +210,7 @@ def test_paragraphs_against_brute_force(spark):
     texts += [(90, None), (91, ""), (92, " ".join(word() for _ in range(20_000))), (None, texts[5][1]), (7, texts[7][1])]
     units = []
     for d, t in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):
-        units += [(d, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for w in paragraphs(t, 8)]
+        units += [(d, x) for _, cut in own_units(t) for x, n in cut if n >= 8]
     u = Union()
     for (i, (_, x)), (j, (_, y)) in itertools.combinations(enumerate(units), 2):
         if 100 * len(x & y) >= 80 * len(x | y):
@@ -222,7 +222,7 @@ def test_paragraphs_against_brute_force(spark):
             want[d][1] += 1
             want[d][2].add(units[u.find(k)][0])
     frame = spark.createDataFrame(clash(texts), CLASH).repartition(2)
-    got = {x["doc_id"]: [x["n_paragraphs"], x["n_removed"], set(x["keepers"])] for x in paragraph_duplicates(spark, frame, bands=16).collect()}
+    got = {x["doc_id"]: [x["n_paragraphs"], x["n_removed"], set(x["keepers"])] for x in paragraph_duplicates(spark, frame, least_words=8, whole=False).collect()}
     assert got == want and sum(x[1] for x in want.values()) > 20
     assert paragraph_duplicates(spark, frame.limit(0)).count() == 0
 
@@ -232,7 +232,7 @@ def own_units(text):
     for line in re.split(r"\n", text or ""):
         if line.strip():
             cut = re.findall(r"\S[^\n]*?[.!?](?=\s|$)|\S[^\n]*$", line.strip())
-            yield shingles(line), [shingles(x) for x in cut]
+            yield shingles(line), [(shingles(x), len(x.split())) for x in cut]
 
 
 def first_of_clusters(sets):
@@ -259,7 +259,7 @@ def test_all_paragraphs_as_the_query_takes_them(spark, tmp_path):
         parts.append(r.choice(["Read more.", "Share this page with friends", "Back to top of page!", word(), "Yes. No. Yes."]))
         texts.append((k, "\n".join(parts)))
     texts += [(50, None), (51, ""), (52, " \n . \n")]
-    held = [(d, whole, cut) for d, t in texts for whole, cut in own_units(t)]
+    held = [(d, whole, [s for s, _ in cut]) for d, t in texts for whole, cut in own_units(t)]
     heads = first_of_clusters([whole for _, whole, _ in held])
     want = {d: [0, 0, set()] for d, _ in texts}
     staying = []
