@@ -51,10 +51,22 @@ class Workspace:
     def _jpath(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+        """The table as written; by: a column of few values, by which its files are apart and reads skip the others."""
         path = f"{self.root}/{self._n}-{label}"
         self._n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        if by is None:
+            out.parquet(path)
+        else:
+            # one open file for each value instead of a sort before writing
+            conf = "spark.sql.maxConcurrentOutputFileWriters"
+            before = self.spark.conf.get(conf, "0")
+            self.spark.conf.set(conf, "16")
+            try:
+                out.partitionBy(by).parquet(path)
+            finally:
+                self.spark.conf.set(conf, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._ledgerline_path = path
         return out
@@ -66,6 +78,11 @@ class Workspace:
                 p = self._jpath(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def drop_part(self, df: DataFrame, by: str, value: int) -> None:
+        """Removes the rows of one value of a table written by that column; later reads must leave that value out."""
+        p = self._jpath(f"{df._ledgerline_path}/{by}={value}")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of finished steps now; they go by garbage collection only."""
         gc.collect()

@@ -35,6 +35,7 @@ from ledgerline.llm.components import components
 SIGNED = "doc_id long, text_key long, row long, n_shingles long, set_key binary, buckets array<long>, sig binary, text binary"
 #: Classes of a bucket that are put into each of its blocks.
 CENTRES = 4
+SPREAD = 16
 
 
 def signer(bands: int, rows: int, width: int):
@@ -206,7 +207,10 @@ def class_links(
     placed = work.write(placed, "placed")
     largest = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.col("count")).alias("largest"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
     largest = largest.where("n_all > n_main").select("bucket", "largest", F.ceil((F.col("n_all") - F.col("n_main")) / block_classes).cast("int").alias("p"), F.ceil(F.col("n_main") / block_classes).cast("int").alias("q"))
-    open_ = placed.join(largest, "bucket")
+    # a bucket's members are spread over tasks, and so its line of facts is repeated
+    spread = F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(SPREAD)).cast("int")
+    largest = largest.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    open_ = placed.withColumn("spread", spread).join(largest, ["bucket", "spread"])
     rest = open_.where("root != largest").withColumn("own", block("p", 11))
     each = F.explode(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)).alias("other")
     rest = rest.select("bucket", "rep", "root", "own", each).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root")

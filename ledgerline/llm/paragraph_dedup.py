@@ -34,7 +34,9 @@ from ledgerline.llm.components import components
 from ledgerline.llm.minhash import class_links, share_buckets
 from ledgerline.llm.suffix_dedup import grouped, packed, starts_of, unpacked
 
-CUT = "doc_id long, seq long, rep long, rep2 long, n long, buckets binary, line long, chunk long, blob binary, places binary"
+CUT = "doc_id long, seq long, rep long, rep2 long, n long, buckets binary, line long, chunk long, blob binary, places binary, kind int"
+#: Kinds of rows: documents, lines, sentences, chunks of text.
+DOC, LINE, SENTENCE, TEXT = range(4)
 #: A unit's number is its chunk's number, shifted by so many bits, plus its place in the chunk.
 UNIT_BITS = 22
 
@@ -98,15 +100,24 @@ class Cut:
         short = np.flatnonzero(n == 0)
         one = [xxhash.xxh3_64_intdigest(b" ".join(self.words[a:b]), seed=b - a) for a, b in zip(self.start[short].tolist(), self.stop[short].tolist(), strict=True)]
         h, of = np.concatenate([h[at], np.array(one, np.uint64)]), np.concatenate([of, short])
-        o = np.lexsort((h, of))
-        h, of = h[o], of[o]
-        first = starts_of(of, h)
-        h, of = h[first], of[first]
-        return h, starts_of(of)
+        # repeated shingles within a unit are few: they are found by one plain sort and only they are compared
+        both = mix(h) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        ordered = np.sort(both)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twice):
+            some = np.flatnonzero(np.isin(both, twice))
+            o = np.lexsort((h[some], of[some]))
+            first = np.zeros(len(some), bool)
+            first[o[starts_of(of[some][o], h[some][o])]] = True
+            keep = np.ones(len(h), bool)
+            keep[some[~first]] = False
+            h, of = h[keep], of[keep]
+        o = np.argsort(of, kind="stable") if len(short) else slice(None)
+        return h[o], starts_of(of[o])
 
 
 def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, whole: bool, chunk_chars: int):
-    """A row for each unit, one for the text of each chunk, and one without a key for each document."""
+    """Rows for the units, the texts of chunks, and the documents with their numbers of sentences (adding up)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -115,8 +126,9 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
 
         from ledgerline.llm.shingles import Minima, WordHashes, mix
 
-        minima, cache, press = Minima(bands, rows), WordHashes(), zstandard.ZstdCompressor(1)
-        schema = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.binary()) for f in CUT.split(", ")])
+        minima, cache, press = Minima(bands, rows), WordHashes(), zstandard.ZstdCompressor(3)
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in CUT.split(", ")])
         next_chunk = TaskContext.get().partitionId() << 20
         bits = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,6 +143,8 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
             n = len(cut)
             if not n:
                 return
+            ids, times = np.unique(cut.doc[cut.n_lines :], return_counts=True)
+            yield rows_of(len(ids), doc_id=ids, n=times, kind=np.full(len(ids), DOC))
             h, starts = cut.sets(cache, width)
             sizes = np.diff(np.append(starts, len(h)))
             rep, rep2 = (mix(np.add.reduceat(mix(h ^ np.uint64(salt)), starts)).view(np.int64) for salt in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3))
@@ -149,10 +163,10 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
                 for k, r in zip(some.tolist(), six, strict=True):
                     buckets[k] = r.tobytes()
             base = next_chunk << UNIT_BITS
-            yield rows_of(n, doc_id=cut.doc, seq=base + np.arange(n), rep=rep, rep2=rep2, n=sizes, buckets=buckets, line=base + cut.head)
+            yield rows_of(n, doc_id=cut.doc, seq=base + np.arange(n), rep=rep, rep2=rep2, n=sizes, buckets=buckets, line=base + cut.head, kind=np.where(np.arange(n) < cut.n_lines, LINE, SENTENCE))
             blob, places = press.compress(cut.blob), cut.places()
             for k in range(0, n, 1 << UNIT_BITS):
-                yield rows_of(1, chunk=[next_chunk], blob=[blob], places=[press.compress(places[k : k + (1 << UNIT_BITS)].tobytes())])
+                yield rows_of(1, chunk=[next_chunk], blob=[blob], places=[press.compress(places[k : k + (1 << UNIT_BITS)].tobytes())], kind=[TEXT])
                 next_chunk += 1
 
         lines: list[list[bytes]] = []
@@ -161,7 +175,7 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
         for batch in batches:
             for a in range(0, batch.num_rows, 300):
                 ids = batch.column(0).slice(a, 300)
-                yield rows_of(len(ids), doc_id=ids)
+                yield rows_of(len(ids), doc_id=ids, n=np.zeros(len(ids), np.int64), kind=np.full(len(ids), DOC))
                 for doc, text in zip(ids.to_pylist(), batch.column(1).slice(a, 300).to_pylist(), strict=True):
                     whole_text = word_lines(text)
                     for k in range(0, len(whole_text), 1000):
@@ -257,16 +271,17 @@ def keepers(work: Workspace, units: DataFrame, banded_units: DataFrame, chunks:
     units: doc_id, seq, rep, rep2; banded_units: rep, n, buckets of the same units at least, as others meet no class of
     these; chunks: chunk, blob, places.
     """
-    # one row for each class: the first unit, whose number stands for the class and which is the one to stay of equal ones
-    place = F.struct("doc_id", "seq")
-    classes = work.write(units.groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")), "classes")
-    work.release()
     offers = banded_units.where("buckets IS NOT NULL").select("rep", "n", "buckets")
-    parts = max(32, -(-offers.count() * bands // (part_classes * 8)))
+    parts = max(32, -(-banded_units.count() * bands // (part_classes * 8)))
     offered = offers.mapInArrow(trimmed(offering(bands, parts)), "part long, blob binary")
     banded = offered.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(meeting), "bucket long, rep long, n long")
     banded = work.write(banded, "banded")
     work.release()
+    # a row for each class that is repeated or meets another: the first unit stands for it, and stays if they are equal
+    classes = units.groupBy("rep", "rep2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "seq")).alias("first"))
+    classes = classes.join(banded.select("rep", F.lit(True).alias("meets")).distinct().hint("merge"), "rep", "left").where("times > 1 OR meets")
+    classes = work.write(classes.select("rep", "rep2", "times", "first"), "classes")
+    work.release()
     numbered = work.write(banded.join(classes.select("rep", F.col("first.seq").alias("node")).hint("merge"), "rep").select("bucket", F.col("node").alias("rep"), "n"), "numbered")
     work.drop(banded)
     shared, members = share_buckets(work, numbered, block_classes, block_shingles)
@@ -299,27 +314,25 @@ def paragraph_duplicates(
     work = Workspace(spark, "paragraphs")
     options = percent, width, bands, rows, block_classes, block_shingles, part_classes
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    cut = work.write(some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole, chunk_chars)), CUT), "paragraphs")
-    chunks = cut.where("blob IS NOT NULL").select("chunk", "blob", "places")
-    units, key, lost = cut.where("rep IS NOT NULL"), ["rep", "rep2"], None
-    sentences = units.where("seq != line") if whole else units
+    made = some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole, chunk_chars)), CUT)
+    cut = work.write(made, "paragraphs", by="kind")
+    chunks = cut.where(F.col("kind") == TEXT).select("chunk", "blob", "places")
+    key, lost = ["rep", "rep2"], None
+    units = sentences = cut.where(F.col("kind") == SENTENCE)
     if whole:
-        heads = units.where("seq = line")
+        heads = cut.where(F.col("kind") == LINE)
         table = keepers(work, heads, heads, chunks, *options)
         lost = heads.select("seq", *key).join(table.hint("merge"), key).where("keep.seq != seq").select(F.col("seq").alias("line"), F.col("keep.doc_id").alias("keeper"))
         lost = work.write(lost, "lost")
         work.drop(table)
+        work.drop_part(cut, "kind", LINE)
         work.release()
         units = work.write(sentences.select("doc_id", "seq", *key, "line").join(lost.select("line").hint("merge"), "line", "left_anti").drop("line"), "staying")
         work.release()
     table = keepers(work, units, sentences, chunks, *options)
     work.release()
-    placed = units.select("doc_id", "seq", *key).join(table.hint("merge"), key, "left")
-    gone = F.col("keep").isNotNull() & (F.col("keep.seq") != F.col("seq"))
-    placed = placed.select("doc_id", F.lit(1).alias("one"), F.when(gone, F.col("keep.doc_id")).alias("keeper"))
+    gone = units.select("doc_id", "seq", *key).join(table.hint("merge"), key).where("keep.seq != seq").select("doc_id", F.lit(0).alias("n"), F.col("keep.doc_id").alias("keeper"))
     if lost is not None:
-        placed = placed.union(sentences.select("doc_id", "line").join(lost.hint("merge"), "line").select("doc_id", F.lit(1), "keeper"))
-    placed = placed.union(cut.where("rep IS NULL AND doc_id IS NOT NULL").select("doc_id", F.lit(0), F.lit(None).cast("long")))
-    return placed.groupBy("doc_id").agg(
-        F.sum(F.col("one").cast("long")).alias("n_paragraphs"), F.count("keeper").alias("n_removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"),
-    )
+        gone = gone.union(sentences.select("doc_id", "line").join(lost.hint("merge"), "line").select("doc_id", F.lit(0), "keeper"))
+    every = cut.where(F.col("kind") == DOC).select("doc_id", "n", F.lit(None).cast("long").alias("keeper")).union(gone)
+    return every.groupBy("doc_id").agg(F.sum("n").alias("n_paragraphs"), F.count("keeper").alias("n_removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
