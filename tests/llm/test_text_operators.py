@@ -1,6 +1,8 @@
 """Toxicity, licences, packing, personal data, decontamination and the pipeline, against brute force and round trips."""
 
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
@@ -112,15 +114,65 @@ def prose():
 
 @pytest.mark.parametrize(
     ("noisy", "clear"),
-    [("you 1d10t", "idiot"), ("i d i o t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("idiiiiiot", "idiot"), ("tr@sh!", "trash"), ("c l 0 w n", "clown"), ("$tup1d", "stupid"), ("CLOOOOWN", "clown")],
+    [("you 1d10t", "idiot"), ("i d i o t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("idiiiiiot", "idiot"), ("tr@sh!", "trash"), ("c l 0 w n", "clown"), ("$tup1d", "stupid"), ("CLOOOOWN", "clown"),
+     ("idio7", "idiot"), ("5tone", "stone"), ("i - d - i - o - t", "idiot"), ("c  l  o  w  n", "clown"), ("stu-pid", "stupid"), ("id_iot", "idiot"), ("iidiioott", "idiot"), ("d01ng", "doing"),
+     ("іdіоt", "idiot"), ("ѕtuріd", "stupid"), ("ｉｄｉｏｔ", "idiot"), ("𝐜𝐥𝐨𝐰𝐧", "clown"), ("r o s e", "rose"), ("tra$$h", "trash")],
 )
 def test_obfuscation_is_undone(prose, noisy, clear):
-    f = toxicity.Features(toxicity.language_model(toxicity.trigrams(prose)))
+    f = toxicity.Features(toxicity.LanguageModel(*toxicity.added([toxicity.trigrams(prose)])))
     assert clear in f.words([noisy])[0][0]
 
 
+def test_viterbi_finds_the_best_of_all_paths(prose):
+    model = toxicity.LanguageModel(*toxicity.added([toxicity.trigrams(prose)]))
+    decoder = toxicity.Decoder(model)
+    r = random.Random(17)
+
+    def score(path):
+        x, y, p = 0, 0, sum(cost for _, cost in path)
+        for c in "".join(t for t, _ in path):
+            z = toxicity.code_of(c)
+            p += model(x, y, z)
+            x, y = (0 if z == 0 else y), z
+        return p + model(x, y, 0)
+
+    for _ in range(150):
+        span = "".join(r.choice("idotscln10$!*.- iiéзо") for _ in range(r.randint(1, 7)))
+        lattice = decoder.lattice(span, r.random() < 0.5)
+        paths = list(itertools.product(*lattice))
+        if len(paths) <= 20_000:
+            best, text = decoder.best(lattice)
+            assert abs(best - max(map(score, paths))) < 1e-9
+            assert any("".join(t for t, _ in p) == text and abs(score(p) - best) < 1e-9 for p in paths)
+
+
+def test_trigrams_are_counted_by_character():
+    text = "ab é ябя 7x 42 ßa\n\nab — 漢字"
+    keys, n = toxicity.added([toxicity.trigrams(text, 5), toxicity.trigrams("ab", 5)])
+    want = {}
+    for t in (text, "ab"):
+        c = [0, 0, *(0 if not (x.isalnum()) else ord("0") if x.isdecimal() else ord(x) for x in t), 0]
+        for k in range(len(c) - 2):
+            a, b, d = c[k : k + 3]
+            key = (a if b else 0) << 42 | b << 21 | d
+            want[key] = want.get(key, 0) + 1
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want
+    model = toxicity.LanguageModel(keys, n)
+    some = [0, ord("a"), ord("b"), ord("я"), ord("0"), ord("漢")]
+    for a, b in itertools.product(some, some):
+        assert sum(math.exp(model(a, b, c)) for c in model.k1.tolist()) <= 1 + 1e-9
+
+
+def test_rows_that_repeat_a_labelled_document_count_once(spark):
+    texts = [(k, "you idiot" if k % 3 == 0 else "a kind day") for k in range(90)]
+    docs = spark.createDataFrame(texts + [(3, "you idiot")] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    a = {(r["doc_id"], round(r["score"], 9)) for r in toxicity.toxicity(spark, docs, labels).where("doc_id < 50").collect()}
+    assert len(a) == 50 and all((s >= 0.5) == (k % 3 == 0) for k, s in a)
+
+
 def test_plain_text_is_left_alone(prose):
-    f = toxicity.Features(toxicity.language_model(toxicity.trigrams(prose)))
+    f = toxicity.Features(toxicity.LanguageModel(*toxicity.added([toxicity.trigrams(prose)])))
     assert [n for _, n in f.words(["Plain words, a 1999 price of $5 and more.", "", None, "I a b"])] == [0, 0, 0, 0]
 
 
