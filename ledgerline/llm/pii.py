@@ -3,13 +3,16 @@
 Regular expressions give base spans (email, ip, card, phone) and wider candidates (obfuscated addresses, digit runs, hex
 secrets). Labelers vote on every candidate: a format check, a gazetteer (top-level domains, issuer ranges, country
 codes, usual secret lengths) and the words just before it. Votes are 1, 0 or abstain (2). Spark counts how often each
-pattern of kind and votes occurs over the whole table; expectation-maximisation on these counts estimates the labelers'
-reliabilities, and a logistic span classifier is trained on the patterns with the posteriors as soft labels. A pattern
-has few possible values (6 kinds, 3 votes of 3 labelers), so what the driver gets is bounded at any size of the input.
-Base spans stay in any case; a candidate is added if the classifier gives it 0.5 or more and no base span overlaps it.
-
-Positions of matches are prefix sums over the pieces between them, in steps of 256 matches, so the cost stays near
-linear in the number of matches. The expressions avoid backtracking and recursion on long runs: repeated groups are
+pattern of kind, votes and features (length, character before, letter case) occurs over the whole table;
+expectation-maximisation on the counts of kinds and votes estimates the labelers' reliabilities, and a logistic span
+classifier over kinds, votes and features is trained on the patterns with the posteriors as soft labels, so that it can
+weigh what the labelers do not see. A pattern has few possible values (7 kinds, 3 votes of 3 labelers, 4 x 3 x 3
+features: 6804), so what the driver gets is bounded at any size of the input. Base spans stay in any case; a candidate is
+added if the classifier gives it 0.5 or more and no base span overlaps it.
+
+The cost stays near linear in a text's length and its number of matches: positions are prefix sums over the pieces
+between matches, in steps of 256 matches; pieces of a text are cut out of blocks of 4096 characters; spans are compared
+with chunks of other spans first. The expressions avoid backtracking and recursion on long runs: repeated groups are
 possessive, and runs are entered at their start only (or where the last match ended).
 
 Defined results: null texts count as empty. A null doc_id stays null. Each repeated row gets its row. Other columns are
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +62,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Characters in a block of text, and in a stretch that is cut into blocks.
+BLOCK, STRETCH = 4096, 1 << 18
+
+
+def blocks(text: Column) -> Column:
+    """A text as an array of blocks, so that a piece anywhere in it costs no walk from its start."""
+
+    def cut_up(t: Column, size: int, inner: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / size).cast("int")), lambda c: inner(F.substr(t, c * size + 1, F.lit(size))))
+
+    long = F.flatten(cut_up(text, STRETCH, lambda s: let(s, lambda x: cut_up(x, BLOCK, lambda y: y))))
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(long)
+
+
+def piece(blocks_: Column, a: Column, b: Column) -> Column:
+    """The text from a to before b."""
+
+    def part(c: Column) -> Column:
+        first = F.greatest(a - c * BLOCK, F.lit(0))
+        return F.substr(F.get(blocks_, c), first + 1, F.least(b - c * BLOCK, F.lit(BLOCK)) - first)
+
+    reach = F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int"))
+    return F.when(a < b, F.array_join(F.transform(reach, part), "")).otherwise(F.lit(""))
+
+
 def spans(text: Column, kind: str) -> Column:
     """All matches of a kind's expression: array of (start, k, end, value), in code points, end exclusive."""
     pattern, guard = (BASE | WIDER)[kind]
@@ -116,11 +145,33 @@ def base_spans(text: Column) -> Column:
 
 def wider_spans(text: Column, base: Column) -> Column:
     """Candidates that no base span overlaps."""
-    found = F.concat(*[spans(text, kind) for kind in WIDER])
-    return F.when(F.size(base) == 0, found).otherwise(F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    found, step = F.concat(*[spans(text, kind) for kind in WIDER]), 128
+
+    def chunk(c: Column) -> Column:
+        return let(F.slice(base, c * step + 1, step), lambda some: F.struct(F.get(some, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(some, lambda b: b["end"])).alias("hi"), some.alias("some")))
+
+    def free(chunks: Column) -> Column:
+        def hit(s: Column) -> Column:
+            return F.exists(chunks, lambda c: (c["lo"] < s["end"]) & (s["start"] < c["hi"]) & F.exists(c["some"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+        return F.filter(found, lambda s: ~hit(s))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(base) - 1) / step).cast("int")), chunk)
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(let(chunks, free))
+
 
+def with_context(text: Column, found: Column) -> Column:
+    """Spans with the characters just before them, 30 at most, in lower case."""
 
-def votes(text: Column, s: Column) -> list[Column]:
+    def add(b: Column) -> Column:
+        before = lambda s: F.lower(piece(b, F.greatest(F.lit(0), s["start"] - 30), s["start"]))
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), s["value"].alias("value"), before(s).alias("before")))
+
+    none = F.array().cast("array<struct<start:int,k:int,end:int,value:string,before:string>>")
+    return F.when(F.size(found) == 0, none).otherwise(let(blocks(text), add))
+
+
+def votes(s: Column) -> list[Column]:
     """Format, gazetteer and context votes on a candidate: 1, 0 or 2 for abstaining."""
     v, k = s["value"], s["k"]
     is_ = {kind: k == i for i, kind in enumerate(KINDS)}
@@ -142,19 +193,32 @@ def votes(text: Column, s: Column) -> list[Column]:
         .when(is_["number"], F.when(v.rlike(ISSUERS) & (F.length(digits(v)) >= 13), 2).otherwise(0))
         .otherwise(v.rlike(SECRET_LENGTHS).cast("int"))
     )
-    before = F.lower(F.substr(text, F.greatest(F.lit(1), s["start"] - 29), F.least(s["start"], F.lit(30))))
     cue = F.lit(False)
     for kind, words in CUES.items():
-        cue = cue | (is_[kind] & before.rlike(words))
+        cue = cue | (is_[kind] & s["before"].rlike(words))
     context = F.when(cue, 1).when(is_["number"] | is_["secret"], 0).otherwise(2)
     return [form.cast("int"), listed.cast("int"), context.cast("int")]
 
 
-Pattern = tuple[int, int, int, int]
+#: Numbers of values of the features that the classifier has beside kind and votes.
+FEATURES = (4, 3, 3)
+
 
+def looks(s: Column) -> list[Column]:
+    """Features of a candidate that no labeler votes on: its length, the character before it, its letters' case."""
+    v, n = s["value"], F.length(s["value"])
+    size = F.when(n < 12, 0).when(n < 20, 1).when(n < 40, 2).otherwise(3)
+    lead = F.when(s["before"].rlike(r"(?:^|\s)$"), 0).when(s["before"].rlike(r"""[:=("'<\[]$"""), 1).otherwise(2)
+    case = F.when(v.rlike("[A-Z]"), 0).when(v.rlike("[a-z]"), 1).otherwise(2)
+    return [size.cast("int"), lead.cast("int"), case.cast("int")]
 
-def expectation_maximisation(counts: dict[Pattern, float], rounds: int = 100) -> tuple[dict[Pattern, float], list[list[list[float]]]]:
-    """Posterior that a candidate of a pattern is personal data, and P(vote | class) by labeler, class and vote."""
+
+Votes = tuple[int, int, int, int]
+Pattern = tuple[int, int, int, int, int, int, int]
+
+
+def expectation_maximisation(counts: dict[Votes, float], rounds: int = 100) -> tuple[dict[Votes, float], list[list[list[float]]]]:
+    """Posterior that a candidate of some kind and votes is personal data, and P(vote | class) by labeler, class and vote."""
     post = {p: min(0.95, max(0.05, (0.5 + sum(v == 1 for v in p[1:])) / (1.0 + sum(v != 2 for v in p[1:])))) for p in counts}
     tables: list[list[list[float]]] = []
     for _ in range(rounds):
@@ -180,43 +244,55 @@ def expectation_maximisation(counts: dict[Pattern, float], rounds: int = 100) ->
     return post, tables
 
 
-def features(p: Pattern) -> list[int]:
-    return [p[0], *(len(KINDS) + 3 * j + v for j, v in enumerate(p[1:]))]
-
-
-def train(counts: dict[Pattern, float], post: dict[Pattern, float], rounds: int = 500, l2: float = 1e-3) -> list[float]:
-    """Weights of a logistic span classifier over kind and votes, soft labels from the posteriors; the last is the bias."""
-    n = len(KINDS) + 9
-    w, whole = [0.0] * (n + 1), sum(counts.values()) or 1.0
-    speed = [1e-8] * (n + 1)
+def features(p: tuple[int, ...]) -> list[int]:
+    """Places of a pattern's features among the classifier's weights; of kind and votes alone where it has no more."""
+    out = [p[0], *(len(KINDS) + 3 * j + v for j, v in enumerate(p[1:4]))]
+    at = len(KINDS) + 9
+    for v, n in zip(p[4:], FEATURES, strict=False):
+        out.append(at + v)
+        at += n
+    return out
+
+
+def train(counts: dict[tuple[int, ...], float], post: dict[Votes, float], rounds: int = 500, l2: float = 1e-3) -> list[float]:
+    """Weights of a logistic span classifier, soft labels from the posteriors of kind and votes; the last is the bias."""
+    n = len(KINDS) + 9 + sum(FEATURES)
+    if not counts:
+        return [0.0] * (n + 1)
+    patterns = sorted(counts)
+    x = np.zeros((len(patterns), n + 1))
+    for i, p in enumerate(patterns):
+        x[i, [*features(p), n]] = 1
+    share = np.array([counts[p] for p in patterns]) / sum(counts.values())
+    y = np.array([post[p[:4]] for p in patterns])
+    w, speed = np.zeros(n + 1), np.full(n + 1, 1e-8)
     for _ in range(rounds):
-        g = [l2 * x for x in w]
-        for p, k in counts.items():
-            at = [*features(p), n]
-            e = (1 / (1 + math.exp(-sum(w[i] for i in at))) - post[p]) * k / whole
-            for i in at:
-                g[i] += e
-        for i in range(n + 1):
-            speed[i] += g[i] * g[i]
-            w[i] -= 0.5 * g[i] / math.sqrt(speed[i])
-    return w
+        g = l2 * w + x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * share)
+        speed += g * g
+        w -= 0.5 * g / np.sqrt(speed)
+    return w.tolist()
 
 
 def prepared(docs: DataFrame, text: str) -> DataFrame:
     """Adds _t (the text, never null), _base and _wider."""
     d = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     d = d.withColumn("_base", base_spans(F.col("_t")))
-    return d.withColumn("_wider", wider_spans(F.col("_t"), F.col("_base")))
+    return d.withColumn("_wider", with_context(F.col("_t"), wider_spans(F.col("_t"), F.col("_base"))))
 
 
 def learn(docs: DataFrame, text: str = "text") -> list[float]:
     """The span classifier's weights, from all candidates of the table."""
     some = prepared(docs.select(F.col(text).alias("_text")), "_text").where((F.size("_base") > 0) | (F.size("_wider") > 0))
-    c = some.select("_t", F.explode(F.concat("_base", "_wider")).alias("s"))
-    v = votes(F.col("_t"), F.col("s"))
-    rows = c.select(F.col("s.k").alias("k"), *[x.alias(f"v{i}") for i, x in enumerate(v)]).groupBy("k", "v0", "v1", "v2").count().collect()
-    counts = {(r["k"], r["v0"], r["v1"], r["v2"]): float(r["count"]) for r in rows}
-    return train(counts, expectation_maximisation(counts)[0])
+    c = some.select(F.explode(F.concat(with_context(F.col("_t"), F.col("_base")), F.col("_wider"))).alias("s"))
+    names = ["v0", "v1", "v2", "f0", "f1", "f2"]
+    columns = [x.alias(n) for x, n in zip([*votes(F.col("s")), *looks(F.col("s"))], names, strict=True)]
+    counts: dict[tuple[int, ...], float] = {}
+    by_votes: dict[Votes, float] = {}
+    for r in c.select(F.col("s.k").alias("k"), *columns).groupBy("k", *names).count().collect():
+        p = (r["k"], *(r[n] for n in names))
+        counts[p] = float(r["count"])
+        by_votes[p[:4]] = by_votes.get(p[:4], 0.0) + r["count"]
+    return train(counts, expectation_maximisation(by_votes)[0])
 
 
 def accepted(weights: list[float]) -> Column:
@@ -225,11 +301,16 @@ def accepted(weights: list[float]) -> Column:
     def positive(s: Column) -> Column:
         table = F.array(*[F.lit(float(x)) for x in weights])
         z = F.get(table, s["k"]) + F.lit(float(weights[-1]))
-        for j, v in enumerate(votes(F.col("_t"), s)):
-            z = z + F.get(table, v + F.lit(len(KINDS) + 3 * j))
+        at = len(KINDS)
+        for v, n in zip([*votes(s), *looks(s)], (3, 3, 3, *FEATURES), strict=True):
+            z = z + F.get(table, v + F.lit(at))
+            at += n
         return z >= 0
 
-    return F.when(F.size("_wider") == 0, F.col("_base")).otherwise(F.array_sort(F.concat(F.col("_base"), F.filter("_wider", positive))))
+    def plain(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), s["value"].alias("value"))
+
+    return F.when(F.size("_wider") == 0, F.col("_base")).otherwise(F.array_sort(F.concat(F.col("_base"), F.transform(F.filter("_wider", positive), plain))))
 
 
 def joined(found: Column) -> Column:
@@ -254,15 +335,24 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     weights = learn(docs, text)
     # the row is kept apart, so that no column of docs can clash with the ones made here
     d = prepared(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text").withColumn("_all", accepted(weights))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t, row = F.col("_t"), F.col("_row")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.when(F.size("_all") > 0, replaced(t, F.col("_all"))).otherwise(row.getField(text))
+    return d.select(*[(clean if c == text else row.getField(c)).alias(c) for c in docs.columns])
 
-    def add(a: Column, s: Column) -> Column:
-        gap = F.substr(t, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.get(names, s["k"]))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    new = F.aggregate(F.col("_all"), start, add, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
-    clean = F.when(F.size("_all") > 0, new).otherwise(row.getField(text))
-    return d.select(*[(clean if c == text else row.getField(c)).alias(c) for c in docs.columns])
+def replaced(text: Column, found: Column) -> Column:
+    """A text with its spans, which are sorted by start, replaced by their kinds; one that overlaps an earlier one vanishes."""
+    names, step = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), 256
+    most = lambda some: F.coalesce(F.array_max(F.transform(some, lambda s: s["end"])), F.lit(0))
+
+    def build(b: Column, tops: Column) -> Column:
+        # tops: the furthest end of each chunk of spans; the furthest end before a span is that of earlier chunks or of its own
+        def one(s: Column, i: Column) -> Column:
+            c = F.floor(i / step).cast("int")
+            reached = F.greatest(F.coalesce(F.array_max(F.slice(tops, F.lit(1), c)), F.lit(0)), most(F.slice(found, c * step + 1, i % step)))
+            return let(reached, lambda at: F.when(s["start"] >= at, F.concat(piece(b, at, s["start"]), F.get(names, s["k"]))).otherwise(F.lit("")))
+
+        return F.concat(F.array_join(F.transform(found, one), ""), piece(b, F.array_max(tops), F.length(text)))
+
+    tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / step).cast("int")), lambda c: most(F.slice(found, c * step + 1, step)))
+    return let(F.struct(blocks(text).alias("b"), tops.alias("tops")), lambda x: build(x["b"], x["tops"]))

@@ -345,6 +345,25 @@ def test_redaction(spark):
     assert [r["text"] for r in one] == ["é mail [EMAIL], ip [IP].", "none"]
 
 
+def test_redaction_of_long_texts_follows_the_spans(spark):
+    r = random.Random(19)
+    kinds = [lambda k: f"u{k}@mail.example.com", lambda k: "+1 (202) 555-0173", lambda k: "10.20.30.4", lambda k: "4111 1111 1111 1111", lambda k: "token = 9233a8ecf7c5b09fe5949719b6b82bc439e9329b", lambda k: f"a{k}@b.c+12025550173.1.2.3.4"]
+    def text(n):
+        return " ".join(r.choice(kinds)(k) if r.random() < 0.2 else r.choice(["é", "wort", "漢字", "x\n"]) * r.randint(1, 40) for k in range(n))
+    texts = [(k, text(r.choice([3, 60, 400]))) for k in range(12)] + [(20, "z" * 4090 + " a@b.cd " + "é" * 4090 + text(4000)), (21, text(9000)), (22, "a@b.cd" * 2), (23, None), (24, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {x["doc_id"]: [y.split(":") for y in x["spans"].split(",") if y] for x in pii.find(docs).collect()}
+    assert sum(map(len, found.values())) > 2500 and max(len(t or "") for _, t in texts) > pii.STRETCH
+    for x in pii.redact(docs).collect():
+        t = dict(texts)[x["doc_id"]]
+        out, at = "", 0
+        for kind, a, b in found[x["doc_id"]]:
+            if int(a) >= at:
+                out += t[at : int(a)] + f"[{kind.upper()}]"
+            at = max(at, int(b))
+        assert x["text"] == (out + t[at:] if found[x["doc_id"]] else t)
+
+
 def test_reliabilities_come_from_agreement():
     counts = {(5, 1, 1, 1): 80.0, (5, 2, 0, 0): 100.0, (5, 1, 1, 0): 15.0, (5, 2, 0, 1): 5.0}
     post, _ = pii.expectation_maximisation(counts)
@@ -352,6 +371,10 @@ def test_reliabilities_come_from_agreement():
     w = pii.train(counts, post)
     z = lambda p: sum(w[i] for i in [*pii.features(p), -1])
     assert z((5, 1, 1, 1)) > 0 > z((5, 2, 0, 0))
+    # what the labelers do not see is weighed too: here a character before goes with those that they agree on
+    seen = {(*p, 1, int(p[1] == 1), 2): n for p, n in counts.items()} | {(5, 2, 2, 2, 1, 0, 2): 300.0, (5, 2, 2, 2, 1, 1, 2): 300.0}
+    w = pii.train(seen, post | {(5, 2, 2, 2): 0.5})
+    assert z((5, 2, 2, 2, 1, 1, 2)) > z((5, 2, 2, 2, 1, 0, 2))
 
 
 # decontamination
