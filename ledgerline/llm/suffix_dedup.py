@@ -11,7 +11,10 @@ anchors, so the occurrences of an anchor, with the bytes around them that such s
    interval longer than the threshold, and the smallest document is known. The others ask for the bytes themselves,
    once for each different surrounding.
 3. Per bucket, surroundings that share the anchor and half of the other bytes on one side with another (no other can
-   share a string) are put together in blocks of bounded size and their transform is built. Breadth-first
+   share a string) are put together in blocks of bounded size and their transform is built. If those of one anchor
+   alone exceed a block they are divided: a common string goes on for at least half of its other bytes on one side, so
+   the surroundings are dealt by these bytes, once by each side, and what is still too large is divided again with the
+   longer string in place of the anchor, until it has all the bytes. Breadth-first
    backward extension splits the interval of all suffixes level by level: level l marks where neighbours share l bytes
    and no more, so common prefixes come up by increasing value, and it stops at `least`. What is not split by then are
    the equal strings; the smallest document of each goes back to the chunks that hold it.
@@ -370,6 +373,85 @@ def may_meet(body: np.ndarray, starts: np.ndarray, size: np.ndarray, left: np.nd
     return out
 
 
+def smallest(body: np.ndarray, starts: np.ndarray, size: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """The smallest document of each string of `least` bytes in some surroundings, one after the other, by the transform."""
+    n = len(size)
+    place = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
+    whose = np.repeat(np.arange(n), size + 1)
+    where = np.arange(len(whose)) - place[whose]
+    inside = where < size[whose]
+    text = np.zeros(len(whose), np.int32)
+    text[inside] = body[(starts[whose] + where)[inside]].astype(np.int32) + 1
+    suffixes, bounds = equal_strings(text, least)
+    fits = where + least <= size[whose]
+    ids = np.where(fits, doc[whose], NO_DOC)[suffixes]
+    g = np.flatnonzero(bounds)
+    of = np.empty(len(text), np.int64)
+    of[suffixes] = np.repeat(np.minimum.reduceat(ids, g), np.diff(np.append(g, len(ids))))
+    return of[fits]
+
+
+class Surroundings:
+    """Surroundings of anchors and what is found of their strings so far, those of each in a row."""
+
+    def __init__(self, body: np.ndarray, starts: np.ndarray, size: np.ndarray, left: np.ndarray, doc: np.ndarray, least: int, block_bytes: int):
+        self.body, self.starts, self.size, self.left, self.doc, self.least, self.block_bytes = body, starts, size, left, doc, least, block_bytes
+        self.windows = np.maximum(0, size - least + 1)
+        self.first = np.cumsum(self.windows) - self.windows
+        self.found = np.repeat(doc, self.windows)
+
+    def solve(self, part: np.ndarray) -> None:
+        """Takes up the smallest documents among some surroundings."""
+        values = smallest(self.body, self.starts[part], self.size[part], self.doc[part], self.least)
+        n = self.windows[part]
+        at = np.repeat(self.first[part], n) + np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+        self.found[at] = np.minimum(self.found[at], values)
+
+    def divide(self, part: np.ndarray, before: int, after: int) -> None:
+        """Solves surroundings that share the bytes from `before` ahead of the anchor's start to `after` behind it."""
+        if len(part) < 2:
+            return
+        if int((self.size[part] + 1).sum()) <= self.block_bytes:
+            self.solve(part)
+            return
+        rest = self.least - before - after
+        if rest <= 0:  # all hold one string of that length
+            at = self.first[part] + self.left[part] - before
+            self.found[at] = np.minimum(self.found[at], self.doc[part].min())
+            return
+        half = -(-rest // 2)
+        for b, a in ((before, after + half), (before + half, after)):
+            some = part[(self.left[part] >= b) & (self.left[part] + a <= self.size[part])]
+            if not len(some):
+                continue
+            factors = np.array([pow(int(BASE), j + 1, 2**64) for j in range(b + a)], np.uint64)
+            h = np.empty(len(some), np.uint64)
+            for k in range(0, len(some), 50_000):
+                few = some[k : k + 50_000]
+                at = (self.starts[few] + self.left[few] - b)[:, None] + np.arange(b + a)
+                h[k : k + 50_000] = (self.body[at].astype(np.uint64) * factors).sum(1)
+            order = np.argsort(h, kind="stable")
+            some, h = some[order], h[order]
+            g = starts_of(h)
+            together: list[np.ndarray] = []  # small groups share a block
+            held = 0
+            for x, y in zip(g.tolist(), [*g[1:].tolist(), len(some)], strict=True):
+                group = some[x:y]
+                if len(group) < 2:
+                    continue
+                size = int((self.size[group] + 1).sum())
+                if size > self.block_bytes:
+                    self.divide(group, b, a)
+                    continue
+                if together and held + size > self.block_bytes:
+                    self.solve(np.concatenate(together))
+                    together, held = [], 0
+                together.append(group)
+                held += size
+            if together:
+                self.solve(np.concatenate(together))
+
+
 def solving(least: int, gram: int, block_bytes: int):
     """Step 3: for each surrounding the smallest document of each string of `least` bytes in it, sent to its holders."""
 
@@ -384,43 +466,29 @@ def solving(least: int, gram: int, block_bytes: int):
             heads = [unpacked(r[1], [np.uint64, np.int64, np.int64, np.uint64, np.int64]) for r in shown]
             k, doc, size, h, left = (np.concatenate([x[i] for x in heads]) for i in range(5))
             body = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r[2]) for r in shown), np.uint8)
-            ends = np.cumsum(size)
-            windows = np.maximum(0, size - least + 1)
+            starts = np.cumsum(size) - size
             # strings that share an anchor can be equal; blocks are cut between anchors
-            some = np.flatnonzero(may_meet(body, ends - size, size, left, least, gram))
+            some = np.flatnonzero(may_meet(body, starts, size, left, least, gram))
             order = some[np.argsort(h[some], kind="stable")]
-            varied: dict[int, np.ndarray] = {}  # by place in k; the others' strings stand in their own document first
-            constant = doc.copy()
-            a = 0
+            around = Surroundings(body, starts, size, left, doc, least, block_bytes)
             sizes, marks = size[order], h[order]
             totals = np.cumsum(sizes + 1)
+            a = 0
             while a < len(order):
                 done = totals[a - 1] if a else 0
                 b = max(int(np.searchsorted(totals, done + block_bytes, "right")), a + 1)
-                while b < len(order) and marks[b] == marks[b - 1]:
-                    b += 1
-                part = order[a:b]
-                text = np.zeros(int(sizes[a:b].sum()) + len(part), np.int32)
-                starts = np.concatenate([[0], np.cumsum(sizes[a:b] + 1)])[:-1]
-                whose = np.repeat(np.arange(len(part)), sizes[a:b] + 1)
-                where = np.arange(len(text)) - starts[whose]
-                text[where < sizes[a:b][whose]] = np.concatenate([body[ends[i] - size[i] : ends[i]] for i in part]).astype(np.int32) + 1
-                suffixes, bounds = equal_strings(text, least)
-                ids = np.where(where + least <= sizes[a:b][whose], doc[part][whose], NO_DOC)[suffixes]
-                g = np.flatnonzero(bounds)
-                of = np.empty(len(text), np.int64)
-                of[suffixes] = np.repeat(np.minimum.reduceat(ids, g), np.diff(np.append(g, len(ids))))
-                for j, i in enumerate(part.tolist()):
-                    v = of[starts[j] : starts[j] + windows[i]]
-                    if len(v) and (v != v[0]).any():
-                        varied[i] = v
-                    elif len(v):
-                        constant[i] = v[0]
+                if b < len(order) and marks[b] == marks[b - 1]:
+                    back = int(np.searchsorted(marks[a:b], marks[b - 1])) + a  # where this anchor begins
+                    b = back if back > a else int(np.searchsorted(marks[a:], marks[a], "right")) + a
+                around.divide(order[a:b], 0, gram) if marks[a] == marks[b - 1] else around.solve(order[a:b])
                 a = b
             o = np.argsort(k)
             sorted_k = k[o]
-            plain = np.ones(len(k), bool)
-            plain[list(varied)] = False
+            n, first, found = around.windows, around.first, around.found
+            plain = np.ones(len(k), bool)  # all strings have one smallest document
+            full = np.flatnonzero(n)
+            if len(full):
+                plain[full] = np.minimum.reduceat(found, first[full]) == np.maximum.reduceat(found, first[full])
             for r in rows:
                 if r[0] != 3:
                     continue
@@ -430,12 +498,13 @@ def solving(least: int, gram: int, block_bytes: int):
                 s = starts_of(hc)
                 for x, y in zip(s, [*s[1:], len(hc)], strict=True):
                     at = o[np.searchsorted(sorted_k, hk[x:y])]
-                    one = plain[at] & (windows[at] > 0)
-                    out = [(1, packed({"k": hk[x:y][one], "doc": constant[at[one]]}), b"")]
+                    one = plain[at] & (n[at] > 0)
+                    out = [(1, packed({"k": hk[x:y][one], "doc": found[first[at[one]]]}), b"")]
                     if not plain[at].all():
-                        several = [varied[i] for i in at[~plain[at]].tolist()]
-                        lengths = np.array([len(v) for v in several], np.int64)
-                        out.append((5, packed({"k": hk[x:y][~plain[at]], "n": lengths}), packed({"v": np.concatenate(several)})))
+                        each = at[~plain[at]]
+                        m = n[each]
+                        place = np.repeat(first[each], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                        out.append((5, packed({"k": hk[x:y][~plain[at]], "n": m}), packed({"v": found[place]})))
                     for kind, head, values in out:
                         row = (int(hc[x]), kind, head, values)
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "docs", "blob"])

@@ -173,6 +173,40 @@ def test_repeats_against_brute_force(spark):
     assert remove_repeats(spark, frame.limit(0)).count() == 0
 
 
+def test_an_anchor_with_many_surroundings_is_divided(monkeypatch):
+    from ledgerline.llm import suffix_dedup as sd
+
+    r = np.random.default_rng(40)
+    least, gram, w = 50, 21, 30
+    n = 100_000
+    anchor = r.integers(97, 123, gram).astype(np.uint8)
+    left = np.full(n, w - 1)
+    body = r.integers(97, 101, (n, 2 * (w - 1) + gram)).astype(np.uint8)
+    body[:, w - 1 : w - 1 + gram] = anchor
+    # some share bytes on one side, others on both; many share 40 bytes that are one more common string
+    pool = r.integers(97, 101, (300, w - 1)).astype(np.uint8)
+    for at, much in ((0, 0.3), (w - 1 + gram, 0.3)):
+        i = np.flatnonzero(r.random(n) < much)
+        body[i, at : at + w - 1] = pool[r.integers(0, 300, len(i))]
+    i = np.flatnonzero(r.random(n) < 0.4)
+    body[i, w - 1 + gram : w - 1 + gram + 19] = pool[0][:19]
+    size, starts, doc = np.full(n, body.shape[1]), np.arange(n) * body.shape[1], r.permutation(n).astype(np.int64)
+    largest = []
+    plain = sd.smallest
+    monkeypatch.setattr(sd, "smallest", lambda b, st, sz, d, least_: largest.append(int((sz + 1).sum())) or plain(b, st, sz, d, least_))
+    around = sd.Surroundings(body.reshape(-1), starts, size, left, doc, least, 1 << 18)
+    around.divide(np.arange(n), 0, gram)
+    assert max(largest) <= 1 << 18
+    # brute force: the smallest document by string, place by place, as equal strings have the anchor in the same place
+    found = around.found.reshape(n, -1)
+    for k in range(found.shape[1]):
+        _, of = np.unique(np.ascontiguousarray(body[:, k : k + least]).view(f"S{least}").ravel(), return_inverse=True)
+        want = np.full(of.max() + 1, n)
+        np.minimum.at(want, of, doc)
+        assert (found[:, k] == want[of]).all()
+    assert (found != doc[:, None]).mean() > 0.05
+
+
 def test_interval_expansion_groups_equal_strings():
     r = random.Random(11)
     for _ in range(30):
