@@ -8,7 +8,8 @@ no template are left out of the windows: they cannot match, and without them the
 
 Two filters before lose nothing. A text that holds 0.8 of a template's shingles must hold one of any words that stand
 in more than 0.2 of them, so texts without such words are passed over; and windows without a single shingle of any
-template are not built. Templates are a parameter; their bands are a small table bounded by it.
+template are not built. Templates are a parameter; their shingles and bands are tables, which are broadcast only if there
+are at most `broadcast_shingles` shingles, and joined by a shuffle otherwise.
 
 Templates with fewer words than a shingle are one shingle of their own length, and are sought among the texts' shingles
 of that length. Some notices are nearly contained in others (the headers of GPL-2.0, GPL-3.0, LGPL and AGPL). With
@@ -150,7 +151,7 @@ def unbeaten(good: DataFrame, against: dict[str, list[str]]) -> DataFrame:
 
 def scan(
     spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, share: float = 0.8, width: int = 5, bands: int = 24, rows: int = 2,
-    best_only: bool = False, doc_id: str = "doc_id", text: str = "text",
+    best_only: bool = False, broadcast_shingles: int = 100_000, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, license, containment (the best), n_windows and first_word of each template found in each document."""
     words = {k: w for k, t in (TEMPLATES if templates is None else templates).items() if (w := template_words(t))}
@@ -163,13 +164,16 @@ def scan(
     known = known.select("license", "width", needed.alias("needed"))
     known = known.withColumn("n", F.size("needed")).withColumn("bands", bands_of(F.col("needed"), bands, rows))
     sizes = {(of[k], len(shingles_of(w, width))) for k, w in words.items()}
-    every = [x for r in known.select("needed").collect() for x in r["needed"]]
+    # broadcast only as far as the number of the templates' shingles is known to be small
+    small = sum(len(shingles_of(w, width)) for w in words.values()) <= broadcast_shingles
+    sent = F.broadcast if small else (lambda df: df.hint("merge"))
+    every = known.select("width", F.explode("needed").alias("h")).distinct()
     t = F.col(text).cast("string")
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("_t")).where(F.col("_t").rlike(gate(words, share, width)))
     some = some.withColumn("row", F.monotonically_increasing_id())
     placed = lambda w, k: F.transform(hashes(w, k), lambda h, i: F.struct(F.lit(k).alias("width"), i.alias("at"), h.alias("h")))
     each = some.select("doc_id", "row", F.explode(let(word_arrays(F.col("_t")), lambda w: F.concat(*[placed(w, k) for k in widths]))).alias("s"))
-    each = each.select("doc_id", "row", "s.*").where(F.col("h").isin(sorted(set(every))))
+    each = each.select("doc_id", "row", "s.*").join(sent(every), ["width", "h"], "left_semi")
     # the windows of each size that hold a place: those from the last that starts there or before, back to its reach
     spots = []
     for k, n in sorted(sizes):
@@ -182,7 +186,7 @@ def scan(
     at = at.select("doc_id", "row", "width", F.col("w.n").alias("n"), F.col("w.start").alias("start"), "window")
     found = at.select("doc_id", "row", "width", "n", "start", "window", F.explode(bands_of(F.col("window"), bands, rows)).alias("band"))
     index = known.select("license", "width", "n", "needed", F.explode("bands").alias("band"))  # templates x bands rows
-    hits = found.join(F.broadcast(index), ["width", "n", "band"]).select("doc_id", "row", "license", "n", "start", F.size(F.array_intersect("window", "needed")).alias("both"))
+    hits = found.join(sent(index), ["width", "n", "band"]).select("doc_id", "row", "license", "n", "start", F.size(F.array_intersect("window", "needed")).alias("both"))
     good = hits.where(F.col("both") >= F.lit(share) * F.col("n") - 1e-9)
     if best_only and (against := rivals(words, share, width)):
         good = unbeaten(good, against)

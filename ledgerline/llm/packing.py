@@ -5,7 +5,8 @@ cut from long documents first; what is left of each document goes to the smalles
 packed from the longest down: a sequence starts with one piece of its own tier and its gap is filled from shorter
 tiers, best fit first, closing the last gap by cutting a shorter piece. Sequences of a power of two need no padding,
 and what remains at the end of a task is laid out in such sequences too, so padding is zero. Full sequences are dealt
-to step groups of about equal attention cost, longest first to the least loaded group.
+to step groups of about equal attention cost, longest first to the least loaded group, and no group gets more than 1.25
+times the tokens that it should have.
 
 All of it runs within the tasks that read the documents: there is no shuffle, and a task holds one block of documents
 (`block_tokens`, or one document if that is longer) at a time.
@@ -194,11 +195,22 @@ class Block:
             self.full.append((size, seq))
 
 
-def step_groups(sizes: list[int], group_tokens: int) -> list[int]:
-    """A group for each sequence: the longest first, each to the group with the least attention cost so far."""
+def step_groups(sizes: list[int], group_tokens: int, over: float = 1.25) -> list[int]:
+    """A group for each sequence: the longest first, each to the group with the least attention cost so far.
+
+    A group that a sequence would take beyond `over` times the wanted tokens waits for shorter ones. There is always one
+    with room, as the groups together have more than all sequences need.
+    """
     n = max(1, -(-sum(sizes) // group_tokens))
-    heap, out = [(0, 0, g) for g in range(n)], [0] * len(sizes)
+    most = max(over * group_tokens, max(sizes, default=0))
+    heap, out, full, last = [(0, 0, g) for g in range(n)], [0] * len(sizes), [], None
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        if sizes[i] != last:
+            for g in full:
+                heapq.heappush(heap, g)
+            full, last = [], sizes[i]
+        while len(heap) > 1 and heap[0][1] + sizes[i] > most:
+            full.append(heapq.heappop(heap))
         cost, tokens, g = heapq.heappop(heap)
         out[i] = g
         heapq.heappush(heap, (cost + sizes[i] * sizes[i], tokens + sizes[i], g))

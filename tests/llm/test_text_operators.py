@@ -100,6 +100,12 @@ def test_blocks_fill_every_sequence():
     for g, (n, _) in zip(groups, seqs, strict=True):
         cost[g] = cost.get(g, 0) + n * n
     assert max(cost.values()) - min(cost.values()) <= 64 * 64
+    # few long sequences and many short ones: even cost alone would put nearly all short ones into few groups
+    sizes = [2048] * 40 + [256] * 4000
+    held = {}
+    for g, n in zip(step_groups(sizes, 65_536), sizes, strict=True):
+        held[g] = held.get(g, 0) + n
+    assert sum(held.values()) == sum(sizes) and max(held.values()) <= 1.25 * 65_536
 
 
 # toxicity
@@ -246,6 +252,13 @@ def test_licenses_against_brute_force(spark):
     assert licenses.scan(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).count() == 0
 
 
+def test_licenses_without_broadcasts(spark):
+    texts = [(k, f"word {t} more") for k, t in enumerate(licenses.TEMPLATES.values())]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    a, b = (sorted(map(str, licenses.scan(spark, docs, best_only=True, broadcast_shingles=n).collect())) for n in (100_000, 0))
+    assert a == b and len(a) >= len(texts)
+
+
 def test_license_gate_loses_nothing():
     words = {k: licenses.template_words(t) for k, t in licenses.TEMPLATES.items()}
     gate = re.compile(licenses.gate(words, 0.8, 5).replace("(?iu)", "").replace(r"\p{L}\p{N}", r"\w"), re.I)
