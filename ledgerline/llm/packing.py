@@ -23,6 +23,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,11 +54,11 @@ class WordTokenizer:
     parts of other characters, are encoded as they are.
     """
 
-    def __init__(self, path: str, cache_size: int = 200_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         self.pre: dict[str, bytes] = {}
         self.cache_size = cache_size
         vocab = self.tok.get_vocab()
@@ -78,9 +79,20 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t is not None and "<|" in t else (t or "").replace("\n", " ").split(" ") for t in texts]
         cache, pre = self.cache, self.pre
-        missing = list({w for words in split if words for w in words} - cache.keys())
-        cut = {w: PRE_TOKEN.findall(w.lower()) for w in missing if PLAIN.match(w)}
-        unknown = list({p for c in cut.values() for p in c} - pre.keys())
+        missing = list(set(chain.from_iterable(words for words in split if words)).difference(cache))
+        cut = {}
+        for w in missing:
+            # most words are letters, with no more than a mark behind
+            if w.isascii():
+                if w.isalpha():
+                    cut[w] = (w.lower(),)
+                    continue
+                if w[-1] in ".,;:!?" and w[:-1].isalpha():
+                    cut[w] = (w[:-1].lower(), w[-1])
+                    continue
+            if PLAIN.match(w):
+                cut[w] = PRE_TOKEN.findall(w.lower())
+        unknown = list(set(chain.from_iterable(cut.values())).difference(pre))
         for k in range(0, len(unknown), 500):
             some = unknown[k : k + 500]
             pre.update(zip(some, self.pre_tokens(some), strict=True))
