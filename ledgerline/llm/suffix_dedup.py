@@ -312,7 +312,8 @@ def showing(least: int, gram: int):
 def equal_strings(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and where groups with equal first `least` symbols begin; symbol 0 parts strings.
 
-    Symbols are below 512. Order up to `least` symbols comes from prefix doubling; groups from breadth-first backward extension on the transform.
+    Symbols are below 512. Order up to `least` symbols comes from sorting by ever longer prefixes. The last one below
+    `least` gives the intervals to begin with, and breadth-first backward extension on the transform splits them further.
     """
     n = len(text)
     # seven symbols of nine bits first, then prefix doubling
@@ -321,6 +322,7 @@ def equal_strings(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     value = np.zeros(n, np.int64)
     for j in range(have):
         value = value << 9 | ends[j : j + n]
+    level, rank = 1, text  # intervals are known up to so many symbols
     while True:
         suffixes = np.argsort(value)
         ordered = value[suffixes]
@@ -330,25 +332,30 @@ def equal_strings(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
             break
         rank = np.empty(n, np.int64)
         rank[suffixes] = np.cumsum(new)
-        value = rank * (n + 2)
-        value[: n - have] += rank[have:]
-        have *= 2
-    place = np.empty(n, np.int32)
-    place[suffixes] = np.arange(n, dtype=np.int32)
-    back = place[suffixes - 1]  # where the suffix one symbol longer stands; the first one's is the last symbol
-    counts = np.bincount(text, minlength=1)
-    heads = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    starts, bounds = np.zeros(n, bool), np.zeros(n, bool)
-    starts[heads[heads < n]] = True
+        level = have
+        # three ranks in one number where they fit, else two
+        times, value = 3 if (n + 2) ** 3 <= 2**63 else 2, rank
+        for k in range(1, times):
+            value = value * (n + 2)
+            value[: max(0, n - k * have)] += rank[k * have :]
+        have *= times
+    place = np.empty(n, np.int64)
+    place[suffixes] = np.arange(n)
+    after = place[(suffixes + 1) % n]  # where the suffix one symbol shorter stands; the last one's is the first symbol
+    bounds, split = np.zeros(n, bool), np.empty(n, bool)
+    known = rank[suffixes]
     bounds[0] = True
-    moved = np.empty(n, np.int32)
-    for _ in range(least):
-        moved[back] = np.cumsum(bounds, dtype=np.int32)
-        longer = starts.copy()
-        longer[1:] |= moved[1:] != moved[:-1]
-        if (longer == bounds).all():
+    bounds[1:] = known[1:] != known[:-1]
+    interval, shorter = np.empty(n, np.int32), np.empty(n, np.int32)
+    for _ in range(level, least):
+        np.cumsum(bounds, dtype=np.int32, out=interval)
+        np.take(interval, after, out=shorter, mode="clip")
+        np.not_equal(shorter[1:], shorter[:-1], out=split[1:])
+        split[0] = True
+        split |= bounds
+        if np.array_equal(split, bounds):
             break
-        bounds = longer
+        bounds, split = split, bounds
     return suffixes, bounds
 
 
@@ -574,7 +581,7 @@ def marking(least: int, gram: int):
 
 def remove_repeats(
     spark: SparkSession, docs: DataFrame, least: int = 50, chunk_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20,
-    block_bytes: int = 2 << 20, least_buckets: int = 32, doc_id: str = "doc_id", text: str = "text",
+    block_bytes: int = (2 << 20) - 64, least_buckets: int = 32, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row; see the module's docstring."""
     gram = 21 if least >= 40 else max(1, least // 2 + 1)
