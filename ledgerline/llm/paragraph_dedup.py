@@ -13,6 +13,14 @@ shingles at 0.8) have equal ones only, which are one class already, so they have
 on full sets, in bounded units, and clustered by components. Of every cluster the first unit (smallest doc_id, then
 order in the text) stays, the others are removals.
 
+Passages are found besides, wherever they begin and end: a document is a sequence of words, and each of its windows of
+`passage_words` (50) stands for its mark, the smallest hash of the strings of `mark_words` (38) in it. Two equal windows
+have equal marks, so every passage of 50 words or more that an earlier document (a smaller doc_id) holds too is found; a
+mark that two documents share is a string of 38 words that both hold (hashes have 64 bits: n marks make a chance of
+n * n / 2**65 for one that is not). n_passages_repeated counts the distinct marks that an earlier document has. They are
+counted, not removed: removals are units. A task sends on one document for each mark at a time, the others are known to
+be later ones, so a mark of very many documents takes few rows.
+
 Texts are kept once, as compressed chunks of about `chunk_chars` characters with the places of their units, and a unit's
 words are cut out of its chunk when it is verified. A line is held by one task at a time, whole.
 
@@ -32,11 +40,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import Workspace, trimmed
 from ledgerline.llm.components import components
 from ledgerline.llm.minhash import class_links, share_buckets
-from ledgerline.llm.suffix_dedup import grouped, packed, starts_of, unpacked
+from ledgerline.llm.suffix_dedup import grouped, packed, slide, starts_of, unpacked
 
 CUT = "doc_id long, seq long, rep long, rep2 long, n long, buckets binary, line long, chunk long, blob binary, places binary, kind int"
-#: Kinds of rows: documents, lines, sentences, chunks of text.
-DOC, LINE, SENTENCE, TEXT = range(4)
+#: Kinds of rows: documents, lines, sentences, chunks of text, marks of passages.
+DOC, LINE, SENTENCE, TEXT, MARK = range(5)
 #: A unit's number is its chunk's number, shifted by so many bits, plus its place in the chunk.
 UNIT_BITS = 22
 
@@ -80,13 +88,12 @@ class Cut:
         starts = np.concatenate([[0], self.ends + 1])
         return np.stack([starts[self.start], self.ends[self.stop - 1]], 1).astype(np.int64) if len(self) else np.zeros((0, 2), np.int64)
 
-    def sets(self, cache, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shingle hashes of all units, and where each unit's begin."""
+    def sets(self, w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingle hashes of all units, and where each unit's begin; w: the hashes of the words."""
         import xxhash
 
         from ledgerline.llm.shingles import PLACES, mix
 
-        w = np.fromiter(map(cache.__getitem__, self.words), np.uint64, len(self.words))
         n = np.maximum(0, self.stop - self.start - width + 1)
         h = np.zeros(0, np.uint64)
         if len(w) >= width:
@@ -116,8 +123,111 @@ class Cut:
         return h[o], starts_of(of[o])
 
 
-def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, whole: bool, chunk_chars: int):
-    """Rows for the units, the texts of chunks, and the documents with their numbers of sentences (adding up)."""
+class Marks:
+    """The marks of the windows of texts that come in pieces, one text after the other."""
+
+    def __init__(self, passage_words: int, mark_words: int):
+        self.passage, self.mark = passage_words, mark_words
+        self.powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.w, self.text, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, w: np.ndarray, text: np.ndarray, doc: np.ndarray) -> None:
+        """The next words: their hashes, the numbers of their texts and their doc_ids."""
+        from ledgerline.llm.shingles import mix
+
+        w, text, doc = np.concatenate([self.w, w]), np.concatenate([self.text, text]), np.concatenate([self.doc, doc])
+        # the last words of a text that may go on
+        k = max(len(w) - self.passage + 1, 0)
+        self.w, self.text, self.doc = w[k:].copy(), text[k:].copy(), doc[k:].copy()
+        if not k:
+            return
+        if len(self.powers[0]) < len(w):
+            odd = 0x9E3779B97F4A7C15
+            self.powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * len(w), b, np.uint64)])) for b in (odd, pow(odd, -1, 2**64)))
+        up, down = self.powers
+        # the strings' hashes are differences of sums of word hashes times powers, brought back to the first power
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w) * up[: len(w)])])
+        m = self.mark
+        m = mix((sums[m:] - sums[:-m]) * down[: len(sums) - m])
+        m = slide(m, self.passage - self.mark + 1, np.minimum)
+        same = text[:k] == text[self.passage - 1 :]
+        m, text, doc = m[same], text[:k][same], doc[:k][same]
+        if len(m):
+            first = starts_of(text, m)
+            self.held.append((m[first], doc[first]))
+            self.count += len(first)
+
+    def taken(self) -> tuple[int, bytes, bytes]:
+        """The marks held so far: how many, each with its smallest doc_id, and the pairs of other documents and marks."""
+        m, doc = (np.concatenate([x[k] for x in self.held]) for k in (0, 1))
+        self.held, self.count = [], 0
+        o = np.lexsort((doc, m))
+        m, doc = m[o], doc[o]
+        one = starts_of(m, doc)
+        m, doc = m[one], doc[one]
+        first = np.zeros(len(m), bool)
+        first[starts_of(m)] = True
+        return int(first.sum()), packed({"mark": np.diff(m[first], prepend=np.uint64(0)), "doc": doc[first]}), packed({"mark": m[~first], "doc": doc[~first]})
+
+
+def pairs_of(mark: np.ndarray, doc: np.ndarray) -> Iterator:
+    import pyarrow as pa
+
+    for k in range(0, len(mark), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + 100_000]), pa.array(mark[k : k + 100_000].view(np.int64))], names=["doc_id", "mark"])
+
+
+def known_later(batches: Iterator) -> Iterator:
+    """Documents and marks that a task has seen to be in an earlier document."""
+    for batch in batches:
+        for blob in batch.column(0):
+            yield from pairs_of(*unpacked(blob.as_py(), [np.uint64, np.int64]))
+
+
+def dealing(parts: int):
+    """Marks and their smallest doc_ids, packed by part."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bounds = np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64)
+        for batch in batches:
+            for blob in batch.column(0):
+                m, doc = unpacked(blob.as_py(), [np.uint64, np.int64])
+                m = np.cumsum(m, dtype=np.uint64)
+                cuts = [0, *np.searchsorted(m, bounds).tolist(), len(m)]
+                some = [(k, packed({"mark": np.diff(m[a:b], prepend=np.uint64(0)), "doc": doc[a:b]})) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], names=["part", "blob"])
+
+    return run
+
+
+def later(batches: Iterator) -> Iterator:
+    """Documents and marks that an earlier document has, part by part."""
+    for _, rows in grouped(batches, ["part", "blob"]):
+        cols = [unpacked(blob, [np.uint64, np.int64]) for (blob,) in rows]
+        m = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
+        doc = np.concatenate([c[1] for c in cols])
+        o = np.lexsort((doc, m))
+        m, doc = m[o], doc[o]
+        g = starts_of(m)
+        keep = doc != np.repeat(doc[g], np.diff(np.append(g, len(m))))
+        yield from pairs_of(m[keep], doc[keep])
+
+
+def repeated_passages(work: Workspace, marks: DataFrame, part_marks: int) -> DataFrame:
+    """doc_id and passages, the distinct marks that an earlier document has; marks: n, blob, places as the cutter makes them."""
+    parts = max(32, -(-(marks.agg(F.sum("n")).first()[0] or 0) // part_marks))
+    pairs = "doc_id long, mark long"
+    met = marks.select("blob").mapInArrow(trimmed(dealing(parts)), "part long, blob binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(later), pairs)
+    some = marks.select("places").mapInArrow(trimmed(known_later), pairs).union(met)
+    return work.write(some.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages")), "passages")
+
+
+def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, whole: bool, chunk_chars: int, passage_words: int, mark_words: int):
+    """Rows for the units, the texts of chunks, the documents with their numbers of sentences (adding up), and the marks."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -127,6 +237,7 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
         from ledgerline.llm.shingles import Minima, WordHashes, mix
 
         minima, cache, press = Minima(bands, rows), WordHashes(), zstandard.ZstdCompressor(3)
+        marks = Marks(passage_words, mark_words)
         kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
         schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in CUT.split(", ")])
         next_chunk = TaskContext.get().partitionId() << 20
@@ -135,17 +246,26 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
         def rows_of(count: int, **columns):
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
 
-        def solved(lines: list[list[bytes]], docs: list[int]):
+        def marked():
+            count, firsts, others = marks.taken()
+            return rows_of(1, n=[count], blob=[firsts], places=[others], kind=[MARK])
+
+        def solved(lines: list[list[bytes]], docs: list[int], texts: list[int]):
             nonlocal next_chunk
             if len(cache) > 400_000:
                 cache.clear()
             cut = Cut(lines, np.array(docs, np.int64), least_words, whole)
+            w = np.fromiter(map(cache.__getitem__, cut.words), np.uint64, len(cut.words))
+            counts = [len(x) for x in lines]
+            marks.add(w, np.repeat(np.array(texts, np.int64), counts), np.repeat(np.array(docs, np.int64), counts))
+            if marks.count >= 400_000:
+                yield marked()
             n = len(cut)
             if not n:
                 return
             ids, times = np.unique(cut.doc[cut.n_lines :], return_counts=True)
             yield rows_of(len(ids), doc_id=ids, n=times, kind=np.full(len(ids), DOC))
-            h, starts = cut.sets(cache, width)
+            h, starts = cut.sets(w, width)
             sizes = np.diff(np.append(starts, len(h)))
             rep, rep2 = (mix(np.add.reduceat(mix(h ^ np.uint64(salt)), starts)).view(np.int64) for salt in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3))
             banded = 100 * sizes >= percent * (sizes + 1)
@@ -171,22 +291,27 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
 
         lines: list[list[bytes]] = []
         docs: list[int] = []
-        size = 0
+        texts: list[int] = []
+        size = number = 0
         for batch in batches:
             for a in range(0, batch.num_rows, 300):
                 ids = batch.column(0).slice(a, 300)
                 yield rows_of(len(ids), doc_id=ids, n=np.zeros(len(ids), np.int64), kind=np.full(len(ids), DOC))
                 for doc, text in zip(ids.to_pylist(), batch.column(1).slice(a, 300).to_pylist(), strict=True):
                     whole_text = word_lines(text)
+                    number += 1
                     for k in range(0, len(whole_text), 1000):
                         more = whole_text[k : k + 1000]
                         lines += more
                         docs += [doc] * len(more)
+                        texts += [number] * len(more)
                         size += sum(len(w) + 1 for line in more for w in line)
                         if size >= chunk_chars:
-                            yield from solved(lines, docs)
-                            lines, docs, size = [], [], 0
-        yield from solved(lines, docs)
+                            yield from solved(lines, docs, texts)
+                            lines, docs, texts, size = [], [], [], 0
+        yield from solved(lines, docs, texts)
+        if marks.count:
+            yield marked()
 
     return run
 
@@ -308,15 +433,20 @@ def keepers(work: Workspace, units: DataFrame, banded_units: DataFrame, chunks:
 def paragraph_duplicates(
     spark: SparkSession, docs: DataFrame, percent: int = 80, width: int = 5, least_words: int = 1, bands: int = 6, rows: int = 2,
     block_classes: int = 128, block_shingles: int = 1 << 20, part_classes: int = 400_000, whole: bool = True, chunk_chars: int = 1 << 21,
-    doc_id: str = "doc_id", text: str = "text",
+    passage_words: int = 50, mark_words: int = 38, part_marks: int = 1_000_000, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """For each document: doc_id, n_paragraphs, n_removed, and the documents that keep what is removed (keepers)."""
+    """For each document: doc_id, n_paragraphs, n_removed, the documents that keep what is removed (keepers), n_passages_repeated."""
+    if not 1 <= mark_words <= passage_words:
+        raise ValueError("mark_words must be 1 to passage_words")
     work = Workspace(spark, "paragraphs")
     options = percent, width, bands, rows, block_classes, block_shingles, part_classes
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    made = some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole, chunk_chars)), CUT)
+    made = some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole, chunk_chars, passage_words, mark_words)), CUT)
     cut = work.write(made, "paragraphs", by="kind")
     chunks = cut.where(F.col("kind") == TEXT).select("chunk", "blob", "places")
+    passages = repeated_passages(work, cut.where(F.col("kind") == MARK).select("n", "blob", "places"), part_marks)
+    work.drop_part(cut, "kind", MARK)
+    work.release()
     key, lost = ["rep", "rep2"], None
     units = sentences = cut.where(F.col("kind") == SENTENCE)
     if whole:
@@ -335,4 +465,5 @@ def paragraph_duplicates(
     if lost is not None:
         gone = gone.union(sentences.select("doc_id", "line").join(lost.hint("merge"), "line").select("doc_id", F.lit(0), "keeper"))
     every = cut.where(F.col("kind") == DOC).select("doc_id", "n", F.lit(None).cast("long").alias("keeper")).union(gone)
-    return every.groupBy("doc_id").agg(F.sum("n").alias("n_paragraphs"), F.count("keeper").alias("n_removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
+    every = every.withColumn("passages", F.lit(0).cast("long")).union(passages.select("doc_id", F.lit(0), F.lit(None).cast("long"), "passages"))
+    return every.groupBy("doc_id").agg(F.sum("n").alias("n_paragraphs"), F.count("keeper").alias("n_removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"), F.sum("passages").alias("n_passages_repeated"))

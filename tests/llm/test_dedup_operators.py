@@ -313,6 +313,40 @@ def test_all_paragraphs_as_the_query_takes_them(spark, tmp_path):
     assert got == want and sum(x[1] for x in want.values()) > 100
 
 
+def test_passages_are_found_wherever_they_begin_and_end(spark):
+    r = random.Random(33)
+    say = lambda n: [r.choice("abcdefgh") + str(r.randrange(10**6)) for _ in range(n)]
+    pool, texts = [say(n) for n in (30, 37, 50, 51, 64, 200)], []
+    for k in range(90):
+        w = say(r.randint(0, 150))
+        for _ in range(r.randint(0, 2)):
+            p = r.choice(pool)
+            a = r.randint(0, len(p) - 1) if r.random() < 0.3 else 0
+            w[(at := r.randint(0, len(w))) : at] = p[a:]  # in the midst of a sentence
+        for at in range(r.randint(5, 60), len(w), 90):
+            w[at] += r.choice([".", "\n"])
+        texts.append((k, r.choice([" ", "\n"]).join(w) if k % 9 else " ".join(w).upper()))
+    texts += [(100, None), (101, ""), (102, "and " * 300 + " ".join(say(20))), (103, " ".join(say(20)) + " and" * 60), (104, "or " * 49), (105, "or " * 49), (None, texts[4][1])]
+    texts += [(2, texts[40][1]), (104, "or " * 49), (200, " ".join(say(3000) + pool[5] + say(2000)))]
+
+    def strings(n):
+        held = {}
+        for d, t in texts:
+            w = (t or "").lower().split()
+            held.setdefault(d, set()).update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+        return {d: any(x & s for e, x in held.items() if e is not None and e < d) for d, s in held.items() if d is not None}
+
+    frame = spark.createDataFrame(clash(texts), CLASH)
+    got = []
+    for parts, chunk in ((1, 1 << 21), (3, 1000)):
+        rows = paragraph_duplicates(spark, frame.repartition(parts), chunk_chars=chunk, part_marks=100).collect()
+        got.append({x["doc_id"]: x["n_passages_repeated"] for x in rows})
+    assert got[0] == got[1]
+    long, short = strings(50), strings(38)
+    assert got[0].keys() == long.keys() and 20 < sum(long.values()) < 70
+    assert all(got[0][d] > 0 for d in long if long[d]) and not any(got[0][d] for d in short if not short[d])
+
+
 def test_keep_first_against_brute_force(spark):
     from ledgerline.llm.minhash import keep_first
 
