@@ -129,6 +129,13 @@ def test_obfuscation_is_undone(prose, noisy, clear):
     assert clear in f.words([noisy])[0][0]
 
 
+def test_long_runs_of_pieces_are_restored(prose):
+    f = toxicity.Features(toxicity.LanguageModel(*toxicity.added([toxicity.trigrams(prose)])))
+    for noisy, clear in (("sto.ne-" * 9 + "stu.pid", "stupid"), ("clo-wn/" * 300 + "idi_ot", "idiot")):
+        words, n = f.words(["plain " + noisy + " words"])[0]
+        assert len(noisy) > 64 and n == 1 and clear in words
+
+
 def test_viterbi_finds_the_best_of_all_paths(prose):
     model = toxicity.LanguageModel(*toxicity.added([toxicity.trigrams(prose)]))
     decoder = toxicity.Decoder(model)
