@@ -8,9 +8,10 @@ under the model picks the restored text, which may be the text as it was. A logi
 beginnings of the text as it is and as restored gives the score. Two ordinary short words that a blank parts are not
 tried as one.
 
-The counts come from all rows, added up within tasks first, and grow with what the corpus holds. The model is broadcast;
-its bound is `model_trigrams`: beyond that, trigrams of the lowest counts (below a power of two) are left to the
-smoothing with pairs and single characters. The classifier is fitted on at most `sample_per_class` labelled documents of
+The counts come from all rows, added up within tasks first, and grow with what the corpus holds. The model is broadcast
+as long as it has no more than `model_trigrams` trigrams. Beyond that the commonest trigrams and pairs are, and the others
+are looked up: slices of texts are written with the rarer ones that their lattices ask for, joined with the counts, and
+decoded with these. Every count is used, and the scores are the same for any bound. The classifier is fitted on at most `sample_per_class` labelled documents of
 each class (the smallest hashes of doc_id, held-out rows excluded; of rows that repeat a doc_id the smallest text),
 weighted to the share of each class among all training labels. Features are chosen by a chi-square statistic over that
 sample, `n_features` at most. Labels, lang, source and doc_id are no inputs of a score.
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Workspace, trimmed
+from ledgerline.llm.suffix_dedup import grouped
 
 #: What a mark may stand for.
 LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "#": "h", "(": "c", "¡": "i", "§": "s", "¢": "c", "£": "l", "€": "e"}
@@ -142,33 +144,61 @@ class LanguageModel:
         self.k1, self.n1 = self._sums(keys & (2**21 - 1))
         self.c3, self.t3 = self._sums(keys >> 21)
         self.c2, self.t2 = self._sums(keys >> 21 & (2**21 - 1))
-        self.total, self.kinds = float(self.n3.sum()), len(self.k1) + 1
+        self._begin()
+
+    def _begin(self) -> None:
+        self.total, self.kinds = float(self.n1.sum()), len(self.k1) + 1
         self.known: dict[int, float] = {}
+        #: Counts that are in none of the tables, by kind and key.
+        self.rest: dict[tuple[int, int], int] = {}
+
+    @classmethod
+    def common(cls, tables: list[tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
+        """A model of the common trigrams, last pairs and first pairs, and of all last and middle characters."""
+        made = cls.__new__(cls)
+        (made.k3, made.n3), (made.k2, made.n2), (made.c3, made.t3), (made.k1, made.n1), (made.c2, made.t2) = [(k, n.astype(np.float64)) for k, n in tables]
+        made._begin()
+        return made
+
+    def lacking(self, trigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds and keys that the probabilities of trigrams ask for and the tables don't hold."""
+        out = [np.setdiff1d(x, have) for x, have in zip((trigrams, trigrams & (2**42 - 1), trigrams >> 21), (self.k3, self.k2, self.c3), strict=True)]
+        return np.repeat(np.arange(3), [len(x) for x in out]), np.concatenate(out)
 
     def _sums(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         some, of = np.unique(keys, return_inverse=True)
         return some, np.bincount(of, self.n3, len(some))
 
-    @staticmethod
-    def _at(keys: np.ndarray, n: np.ndarray, key: int) -> float:
+    def _at(self, keys: np.ndarray, n: np.ndarray, key: int, kind: int = -1) -> float:
         k = int(np.searchsorted(keys, key))
-        return float(n[k]) if k < len(keys) and keys[k] == key else 0.0
+        return float(n[k]) if k < len(keys) and keys[k] == key else float(self.rest.get((kind, key), 0))
 
     def __call__(self, a: int, b: int, c: int) -> float:
         key = a << 42 | b << 21 | c
         p = self.known.get(key)
         if p is None:
             p1 = (self._at(self.k1, self.n1, c) + 1) / (self.total + self.kinds)
-            p2 = (self._at(self.k2, self.n2, b << 21 | c) + 5 * p1) / (self._at(self.c2, self.t2, b) + 5)
-            p = math.log((self._at(self.k3, self.n3, key) + 5 * p2) / (self._at(self.c3, self.t3, key >> 21) + 5))
+            p2 = (self._at(self.k2, self.n2, b << 21 | c, 1) + 5 * p1) / (self._at(self.c2, self.t2, b) + 5)
+            p = math.log((self._at(self.k3, self.n3, key, 0) + 5 * p2) / (self._at(self.c3, self.t3, key >> 21, 2) + 5))
             if len(self.known) > 1_000_000:
                 self.known.clear()
             self.known[key] = p
         return p
 
 
+class Asked:
+    """In a model's place: notes the trigrams that it is asked for."""
+
+    def __init__(self):
+        self.keys: set[int] = set()
+
+    def __call__(self, a: int, b: int, c: int) -> float:
+        self.keys.add(a << 42 | b << 21 | c)
+        return 0.0
+
+
 class Decoder:
-    def __init__(self, model: LanguageModel):
+    def __init__(self, model: LanguageModel | Asked):
         self.model = model
         self.cache: dict[tuple[str, bool], str] = {}
 
@@ -305,7 +335,7 @@ def noisy_spans(lowered: str) -> list[tuple[int, int, bool]]:
 class Features:
     """Words and word beginnings of texts, as they are and as restored."""
 
-    def __init__(self, model: LanguageModel):
+    def __init__(self, model: LanguageModel | Asked):
         self.decoder = Decoder(model)
 
     def restored(self, lowered: list[str]) -> dict[int, list[str]]:
@@ -461,7 +491,81 @@ def held_out(doc_id: str):
     return F.coalesce(c % 5 == 0, F.lit(False))
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, model, sample_per_class: int, n_features: int) -> tuple[dict[str, float], float]:
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def asking(model, text: str):
+    def run(batches: Iterator) -> Iterator:
+        """Slices of rows, and the counts that decoding them asks for beyond the model."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in slices(batch, 300_000, text):
+                asked = Asked()
+                Features(asked).restored([(t or "").lower() for t in part.column(text).to_pylist()])
+                kinds, keys = model.value.lacking(np.array(sorted(asked.keys), np.int64))
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema) as stream:
+                    stream.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary()), pa.array([kinds.astype(np.int32)], pa.list_(pa.int32())), pa.array([keys], pa.list_(pa.int64()))], names=["part", "blob", "kinds", "keys"])
+                number += 1
+
+    return run
+
+
+def answered(model, make):
+    def run(batches: Iterator) -> Iterator:
+        """What make's function gives for each slice, under the model with the counts that the slice asks for."""
+        import pyarrow as pa
+
+        for _, rows in grouped(batches, ["part", "blob", "kind", "key", "n"]):
+            model.value.rest = {(kind, key): n for blob, kind, key, n in rows if blob is None}
+            for blob in (r[0] for r in rows if r[0] is not None):
+                yield from make(Held(model.value))(iter(pa.ipc.open_stream(blob).read_all().to_batches()))
+
+    return run
+
+
+class Counts:
+    """The character model of a table of trigram counts: a broadcast of bounded size, and a table of the rarer counts."""
+
+    def __init__(self, spark: SparkSession, work: Workspace, counted: DataFrame, most: int):
+        self.work, self.rest = work, None
+        if counted.count() <= most:
+            rows = counted.orderBy("trigram").toPandas()
+            self.model = spark.sparkContext.broadcast(LanguageModel(rows["trigram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
+            return
+        last, first = F.col("trigram").bitwiseAND(2**42 - 1), F.shiftright("trigram", 21)
+        tables, rest = [], []
+        for kind, key in enumerate((F.col("trigram"), last, first)):
+            sums = work.write(counted.groupBy(key.alias("key")).agg(F.sum("n").alias("n")), "sums")
+            powers = [2**k for k in range(63)]
+            held = sums.agg(*[F.count_if(F.col("n") >= x).alias(str(x)) for x in powers]).first()
+            least = next((x for x in powers if held[str(x)] <= most), 2**63 - 1)
+            tables.append(sums.where(F.col("n") >= least).orderBy("key").toPandas())
+            rest.append(sums.where(F.col("n") < least).select(F.lit(kind).alias("kind"), "key", "n"))
+        # one row for each character at most
+        for key in (F.col("trigram").bitwiseAND(2**21 - 1), first.bitwiseAND(2**21 - 1)):
+            tables.append(counted.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toPandas())
+        self.model = spark.sparkContext.broadcast(LanguageModel.common([(t["key"].to_numpy(np.int64), t["n"].to_numpy(np.int64)) for t in tables]))
+        self.rest = work.write(rest[0].union(rest[1]).union(rest[2]), "rest")
+
+    def through(self, df: DataFrame, text: str, make, schema) -> DataFrame:
+        """df through make's function of a model, which decodes the column text."""
+        if self.rest is None:
+            return df.mapInArrow(trimmed(make(self.model)), schema)
+        asked = self.work.write(df.mapInArrow(trimmed(asking(self.model, text)), "part long, blob binary, kinds array<int>, keys array<long>"), "asked")
+        keys = asked.select("part", F.explode(F.arrays_zip("kinds", "keys")).alias("x")).select("part", F.col("x.kinds").alias("kind"), F.col("x.keys").alias("key"))
+        found = keys.join(self.rest.hint("merge"), ["kind", "key"]).select("part", F.lit(None).cast("binary").alias("blob"), "kind", "key", "n")
+        blobs = asked.select("part", "blob", F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+        return found.union(blobs).repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(answered(self.model, make)), schema)
+
+
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, counts: Counts, sample_per_class: int, n_features: int) -> tuple[dict[str, float], float]:
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out("doc_id"))
@@ -485,10 +589,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, model, sample
     a, b = F.col("n1"), F.col("n0")
     A, B = F.lit(float(sizes[1])), F.lit(float(sizes[0]))
     chi = (a * (B - b) - b * (A - a)) ** 2 / ((a + b) * (A + B - a - b) + 1.0)
-    counted = sample.mapInArrow(trimmed(feature_counts(model)), "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = counts.through(sample, "text", feature_counts, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     chosen = [r["feature"] for r in counted.where("n0 + n1 >= 3").orderBy(F.desc(chi), "feature").limit(n_features).collect()]
     index = spark.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
-    rows = sample.mapInArrow(indexed(model, index), "toxic int, at array<int>").collect()
+    rows = counts.through(sample, "text", lambda model: indexed(model, index), "toxic int, at array<int>").collect()
+    rows.sort(key=lambda r: (r["toxic"], r["at"]))  # sums in one order, however the rows came
     y = np.array([r["toxic"] for r in rows], float)
     share = {k: have[k] / total / max(1, (y == k).sum()) for k in (0, 1)}
     w, base = fit([r["at"] for r in rows], y, np.where(y == 1, share[1], share[0]), len(chosen))
@@ -496,17 +601,13 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, model, sample
 
 
 def models(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_per_class: int, n_features: int, model_trigrams: int, doc_id: str, text: str, label: str):
-    """The character model of all texts and the classifier, both broadcast: their sizes are fixed by parameters."""
+    """The rows to score, the character model of all texts, and the classifier as a broadcast of a size fixed by parameters."""
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic"))
-    counted = Workspace(spark, "trigrams").write(some.select("text").mapInArrow(trimmed(counter), "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")), "counts")
-    powers = [2**k for k in range(40)]
-    held = counted.agg(*[F.count_if(F.col("n") >= x).alias(str(x)) for x in powers]).first()
-    least = next(x for x in powers if held[str(x)] <= model_trigrams or x == powers[-1])
-    rows = counted.where(F.col("n") >= least).orderBy("trigram").toPandas()
-    # at most model_trigrams pairs of numbers
-    model = spark.sparkContext.broadcast(LanguageModel(rows["trigram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
-    return some, model, spark.sparkContext.broadcast(learn(spark, some, known, model, sample_per_class, n_features))
+    work = Workspace(spark, "trigrams")
+    counted = work.write(some.select("text").mapInArrow(trimmed(counter), "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")), "counts")
+    counts = Counts(spark, work, counted, model_trigrams)
+    return some, counts, spark.sparkContext.broadcast(learn(spark, some, known, counts, sample_per_class, n_features))
 
 
 def toxicity(
@@ -514,8 +615,8 @@ def toxicity(
     doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> DataFrame:
     """doc_id, held_out, score, predicted and n_restored for each row; see the module's docstring."""
-    some, model, learned = models(spark, docs, labels, sample_per_class, n_features, model_trigrams, doc_id, text, label)
-    return some.withColumn("held_out", held_out("doc_id")).mapInArrow(trimmed(scorer(model, learned)), "doc_id long, held_out boolean, score double, predicted int, n_restored long")
+    some, counts, learned = models(spark, docs, labels, sample_per_class, n_features, model_trigrams, doc_id, text, label)
+    return counts.through(some.withColumn("held_out", held_out("doc_id")), "text", lambda model: scorer(model, learned), "doc_id long, held_out boolean, score double, predicted int, n_restored long")
 
 
 def keep_clean(
@@ -523,5 +624,5 @@ def keep_clean(
     doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> DataFrame:
     """The rows of docs, with all their columns, that score below 0.5."""
-    _, model, learned = models(spark, docs, labels, sample_per_class, n_features, model_trigrams, doc_id, text, label)
-    return docs.mapInArrow(trimmed(sieve(model, learned, text)), docs.schema)
+    _, counts, learned = models(spark, docs, labels, sample_per_class, n_features, model_trigrams, doc_id, text, label)
+    return counts.through(docs, text, lambda model: sieve(model, learned, text), docs.schema)

@@ -184,6 +184,22 @@ def test_rows_that_repeat_a_labelled_document_count_once(spark):
     assert len(a) == 50 and all((s >= 0.5) == (k % 3 == 0) for k, s in a)
 
 
+def test_scores_do_not_depend_on_the_bound_of_the_model(spark):
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice(["the", "thing", "ring", "stone", "moral", "мир", "слово", "漢字", "kind"]) for _ in range(n))
+    noisy = ["you 1d10t", "s.t.u.p.i.d", "с1ово", "tr@sh!", "c l 0 w n", "漢3字", "ѕtuріd", "5tone m0ral", "th1ng"]
+    texts = [(k, say(20) + (" idiot stupid clown trash " if k % 3 == 0 else " ") + r.choice(noisy) + " " + r.choice(noisy)) for k in range(120)]
+    frame = spark.createDataFrame(clash_rows(texts + [(None, "i d i o t"), (300, None), (301, "")]), CLASH)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    key = lambda x: (x["doc_id"] is None, x["doc_id"])
+    whole = sorted(toxicity.toxicity(spark, frame, labels).collect(), key=key)
+    kept = sorted(toxicity.keep_clean(spark, frame, labels).collect(), key=key)
+    assert sum(x["n_restored"] for x in whole) > 100 and 0 < len(kept) < len(whole)
+    for bound in (40, 0):
+        assert sorted(toxicity.toxicity(spark, frame, labels, model_trigrams=bound).collect(), key=key) == whole
+    assert sorted(toxicity.keep_clean(spark, frame, labels, model_trigrams=40).collect(), key=key) == kept
+
+
 def test_plain_text_is_left_alone(prose):
     f = toxicity.Features(toxicity.LanguageModel(*toxicity.added([toxicity.trigrams(prose)])))
     assert [n for _, n in f.words(["Plain words, a 1999 price of $5 and more.", "", None, "I a b"])] == [0, 0, 0, 0]
