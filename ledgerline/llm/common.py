@@ -39,10 +39,15 @@ class Workspace:
 
     A written table cuts lineage like checkpoint() does and survives the loss of any executor. drop() removes a table
     that later steps no longer read; the others go when the session ends.
+
+    single_files: on a local folder, each task makes one file a table and nothing beside it, for on every file made there
+    Hadoop starts a process (chmod), which holds the executor's memory a second time until it runs. The checksums of such
+    tables are those in Parquet's pages, and reads verify them.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, single_files: bool = False):
         self.spark = spark
+        self.single_files = single_files
         self.root = f"{shared_dir(spark)}/ledgerline-{name}-{uuid.uuid4().hex}"
         self._n = 0
         path = self._jpath(self.root)
@@ -51,23 +56,36 @@ class Workspace:
     def _jpath(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def write(self, df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-        """The table as written; by: a column of few values, by which its files are apart and reads skip the others."""
+    def write(self, df: DataFrame, label: str, by: str | None = None, batch_rows: int | None = None) -> DataFrame:
+        """The table as written; by: a column of few values, by which its files are apart and reads skip the others.
+
+        batch_rows: at most so many rows at once go to Python; whole texts take memory there and in the executor.
+        """
         path = f"{self.root}/{self._n}-{label}"
         self._n += 1
-        out = df.write.option("compression", "zstd")
-        if by is None:
-            out.parquet(path)
-        else:
+        out, read = df.write.option("compression", "zstd"), self.spark.read
+        if self.single_files:
+            out = out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+            if self.spark.sparkContext._jsc.hadoopConfiguration().get("fs.file.impl") is None:
+                out = out.option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
+            out = out.option("parquet.page.write-checksum.enabled", "true")
+            read = read.option("parquet.page.verify-checksum.enabled", "true")
+        confs = {}
+        if by is not None:
             # one open file for each value instead of a sort before writing
-            conf = "spark.sql.maxConcurrentOutputFileWriters"
-            before = self.spark.conf.get(conf, "0")
-            self.spark.conf.set(conf, "16")
-            try:
-                out.partitionBy(by).parquet(path)
-            finally:
-                self.spark.conf.set(conf, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
+            out = out.partitionBy(by)
+            confs["spark.sql.maxConcurrentOutputFileWriters"] = "16"
+        if batch_rows is not None:
+            confs["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+        before = {k: self.spark.conf.get(k) for k in confs}
+        for k, v in confs.items():
+            self.spark.conf.set(k, v)
+        try:
+            out.parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+        out = read.schema(df.schema).parquet(path)
         out._ledgerline_path = path
         return out
 

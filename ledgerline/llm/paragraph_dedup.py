@@ -43,14 +43,16 @@ from ledgerline.llm.minhash import class_links, share_buckets
 from ledgerline.llm.suffix_dedup import grouped, packed, slide, starts_of, unpacked
 
 CUT = "doc_id long, seq long, rep long, rep2 long, n long, buckets binary, line long, chunk long, blob binary, places binary, kind int"
-#: Kinds of rows: documents, lines, sentences, chunks of text, marks of passages.
-DOC, LINE, SENTENCE, TEXT, MARK = range(5)
+#: Kinds of rows: documents and chunks of text (with a chunk's number), lines, sentences, marks of passages. A task has a file for each.
+HELD, LINE, SENTENCE, MARK = range(4)
 #: A unit's number is its chunk's number, shifted by so many bits, plus its place in the chunk.
 UNIT_BITS = 22
+#: By a word's last byte: whether a sentence ends with it.
+ENDS = np.isin(np.arange(256), list(b".!?"))
 
 
-def word_lines(text: str | None) -> list[list[bytes]]:
-    return [line.encode("utf-8", "surrogatepass").lower().split() for line in (text or "").split("\n")]
+def encoded_lines(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
 
 
 class Cut:
@@ -67,7 +69,7 @@ class Cut:
         line_start = line_stop - counts[some]
         stops = np.zeros(len(self.words), bool)
         if len(stops):
-            stops[np.isin(np.frombuffer(self.blob, np.uint8)[self.ends - 1], np.frombuffer(b".!?", np.uint8))] = True
+            stops = ENDS[np.frombuffer(self.blob, np.uint8)[self.ends - 1]]
             stops[line_stop - 1] = True
         b = np.flatnonzero(stops) + 1
         a = np.concatenate([[0], b[:-1]]).astype(np.int64)
@@ -244,7 +246,8 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
         bits = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
         def rows_of(count: int, **columns):
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
+            arrays = (columns.get(f.name) for f in schema)
+            return pa.RecordBatch.from_arrays([pa.nulls(count, f.type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in zip(schema, arrays, strict=True)], schema=schema)
 
         def marked():
             count, firsts, others = marks.taken()
@@ -252,7 +255,7 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
 
         def solved(lines: list[list[bytes]], docs: list[int], texts: list[int]):
             nonlocal next_chunk
-            if len(cache) > 400_000:
+            if len(cache) > 200_000:
                 cache.clear()
             cut = Cut(lines, np.array(docs, np.int64), least_words, whole)
             w = np.fromiter(map(cache.__getitem__, cut.words), np.uint64, len(cut.words))
@@ -263,13 +266,14 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
             n = len(cut)
             if not n:
                 return
-            ids, times = np.unique(cut.doc[cut.n_lines :], return_counts=True)
-            yield rows_of(len(ids), doc_id=ids, n=times, kind=np.full(len(ids), DOC))
+            ids = cut.doc[cut.n_lines :]
+            first = starts_of(ids)
+            yield rows_of(len(first), doc_id=ids[first], n=np.diff(np.append(first, len(ids))), kind=np.full(len(first), HELD))
             h, starts = cut.sets(w, width)
             sizes = np.diff(np.append(starts, len(h)))
             rep, rep2 = (mix(np.add.reduceat(mix(h ^ np.uint64(salt)), starts)).view(np.int64) for salt in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3))
             banded = 100 * sizes >= percent * (sizes + 1)
-            buckets: list = [None] * n
+            buckets = pa.nulls(n, pa.binary())
             some = np.flatnonzero(banded)
             if len(some):
                 x = (h >> np.uint64(32)).astype(np.uint32)
@@ -280,13 +284,14 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
                     b = mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + wide[:, :, r])
                 # 48 bits of each band's hash: chance collisions cost a check, no result
                 six = (b >> np.uint64(16)).view(np.uint8).reshape(len(some), bands, 8)[:, :, :6]
-                for k, r in zip(some.tolist(), six, strict=True):
-                    buckets[k] = r.tobytes()
+                offsets = np.concatenate([[0], np.cumsum(banded * (6 * bands))]).astype(np.int32)
+                valid = np.packbits(banded, bitorder="little").tobytes()
+                buckets = pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(six.tobytes())])
             base = next_chunk << UNIT_BITS
             yield rows_of(n, doc_id=cut.doc, seq=base + np.arange(n), rep=rep, rep2=rep2, n=sizes, buckets=buckets, line=base + cut.head, kind=np.where(np.arange(n) < cut.n_lines, LINE, SENTENCE))
             blob, places = press.compress(cut.blob), cut.places()
             for k in range(0, n, 1 << UNIT_BITS):
-                yield rows_of(1, chunk=[next_chunk], blob=[blob], places=[press.compress(places[k : k + (1 << UNIT_BITS)].tobytes())], kind=[TEXT])
+                yield rows_of(1, chunk=[next_chunk], blob=[blob], places=[press.compress(places[k : k + (1 << UNIT_BITS)].tobytes())], kind=[HELD])
                 next_chunk += 1
 
         lines: list[list[bytes]] = []
@@ -296,16 +301,16 @@ def cutter(width: int, least_words: int, bands: int, rows: int, percent: int, wh
         for batch in batches:
             for a in range(0, batch.num_rows, 300):
                 ids = batch.column(0).slice(a, 300)
-                yield rows_of(len(ids), doc_id=ids, n=np.zeros(len(ids), np.int64), kind=np.full(len(ids), DOC))
+                yield rows_of(len(ids), doc_id=ids, n=np.zeros(len(ids), np.int64), kind=np.full(len(ids), HELD))
                 for doc, text in zip(ids.to_pylist(), batch.column(1).slice(a, 300).to_pylist(), strict=True):
-                    whole_text = word_lines(text)
+                    whole_text = encoded_lines(text)
                     number += 1
                     for k in range(0, len(whole_text), 1000):
                         more = whole_text[k : k + 1000]
-                        lines += more
+                        lines += [line.split() for line in more]
                         docs += [doc] * len(more)
                         texts += [number] * len(more)
-                        size += sum(len(w) + 1 for line in more for w in line)
+                        size += sum(map(len, more)) + len(more)
                         if size >= chunk_chars:
                             yield from solved(lines, docs, texts)
                             lines, docs, texts, size = [], [], [], 0
@@ -438,12 +443,12 @@ def paragraph_duplicates(
     """For each document: doc_id, n_paragraphs, n_removed, the documents that keep what is removed (keepers), n_passages_repeated."""
     if not 1 <= mark_words <= passage_words:
         raise ValueError("mark_words must be 1 to passage_words")
-    work = Workspace(spark, "paragraphs")
+    work = Workspace(spark, "paragraphs", single_files=True)
     options = percent, width, bands, rows, block_classes, block_shingles, part_classes
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     made = some.mapInArrow(trimmed(cutter(width, least_words, bands, rows, percent, whole, chunk_chars, passage_words, mark_words)), CUT)
-    cut = work.write(made, "paragraphs", by="kind")
-    chunks = cut.where(F.col("kind") == TEXT).select("chunk", "blob", "places")
+    cut = work.write(made, "paragraphs", by="kind", batch_rows=1000)
+    chunks = cut.where((F.col("kind") == HELD) & F.col("chunk").isNotNull()).select("chunk", "blob", "places")
     passages = repeated_passages(work, cut.where(F.col("kind") == MARK).select("n", "blob", "places"), part_marks)
     work.drop_part(cut, "kind", MARK)
     work.release()
@@ -464,6 +469,6 @@ def paragraph_duplicates(
     gone = units.select("doc_id", "seq", *key).join(table.hint("merge"), key).where("keep.seq != seq").select("doc_id", F.lit(0).alias("n"), F.col("keep.doc_id").alias("keeper"))
     if lost is not None:
         gone = gone.union(sentences.select("doc_id", "line").join(lost.hint("merge"), "line").select("doc_id", F.lit(0), "keeper"))
-    every = cut.where(F.col("kind") == DOC).select("doc_id", "n", F.lit(None).cast("long").alias("keeper")).union(gone)
+    every = cut.where((F.col("kind") == HELD) & F.col("chunk").isNull()).select("doc_id", "n", F.lit(None).cast("long").alias("keeper")).union(gone)
     every = every.withColumn("passages", F.lit(0).cast("long")).union(passages.select("doc_id", F.lit(0), F.lit(None).cast("long"), "passages"))
     return every.groupBy("doc_id").agg(F.sum("n").alias("n_paragraphs"), F.count("keeper").alias("n_removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"), F.sum("passages").alias("n_passages_repeated"))

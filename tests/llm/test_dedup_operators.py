@@ -277,6 +277,46 @@ def first_of_clusters(sets):
     return [u.find(k) for k in range(len(sets))]
 
 
+def test_paragraphs_hold_few_texts_at_once_and_a_file_a_table_and_task(spark, monkeypatch):
+    from pathlib import Path
+
+    from ledgerline.llm import paragraph_dedup
+    from ledgerline.llm.common import shared_dir
+
+    cutter, conf = paragraph_dedup.cutter, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(*options):
+        run = cutter(*options)
+
+        def few(batches):
+            for batch in batches:
+                if batch.num_rows > 1000:
+                    raise ValueError(f"{batch.num_rows} texts at once")
+                yield batch
+
+        return lambda batches: run(few(batches))
+
+    monkeypatch.setattr(paragraph_dedup, "cutter", watched)
+    folder, before = Path(shared_dir(spark).removeprefix("file:")), spark.conf.get(conf)
+    others = set(folder.glob("ledgerline-paragraphs-*"))
+    frame = spark.createDataFrame([(i, f"Number {i // 2} has words. And a line of its own {i}.") for i in range(2500)], "doc_id long, text string").coalesce(1)
+    got = {x["doc_id"]: (x["n_paragraphs"], x["n_removed"], x["keepers"]) for x in paragraph_duplicates(spark, frame).collect()}
+    assert got == {i: (2, i % 2, [i - 1] if i % 2 else []) for i in range(2500)}
+    assert spark.conf.get(conf) == before
+    files = [f for d in set(folder.glob("ledgerline-paragraphs-*")) - others for f in d.rglob("*") if f.is_file()]
+    assert files and {f.suffix for f in files} == {".parquet"}
+
+    # damage is noticed without checksums in files of their own
+    work = Workspace(spark, "paragraphs", single_files=True)
+    table = work.write(spark.range(20_000).coalesce(1).selectExpr("xxhash64(id) AS x"), "damaged")
+    (file,) = Path(work.root.removeprefix("file:")).rglob("*.parquet")
+    raw = bytearray(file.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    file.write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        table.selectExpr("sum(x % 7)").collect()
+
+
 def test_all_paragraphs_as_the_query_takes_them(spark, tmp_path):
     r = random.Random(21)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
